@@ -55,7 +55,7 @@ def _table_verdict(p: Column) -> Column:
     hits = F.filter(
         "_rules",
         lambda r: (p["is_directory"] | ~r["rule"]["directory_only"])
-        & F.when(r["rule"]["whole_path"], p["prefix"]).otherwise(p["segment"]).rlike(r["rule"]["regex"]),
+        & F.rlike(F.when(r["rule"]["whole_path"], p["prefix"]).otherwise(p["segment"]), r["rule"]["regex"]),
     )
     return F.coalesce(~F.try_element_at(hits, F.lit(-1))["rule"]["negated"], F.lit(False))
 

@@ -135,7 +135,7 @@ def _archived(spark, sf_dir):
 
 
 def attach_content(spark, sf_dir):
-    """The artifact of every third tool is gone: its observations keep their original."""
+    """The artifacts of one tool are gone: their observations are not readable."""
     metadata, found = _archived(spark, sf_dir)
     gone = metadata.filter(F.col("tool_name") == "de").select("project_id", "artifact_id").distinct()
     left = found.join(gone, ["project_id", "artifact_id"], "left_anti")
@@ -198,31 +198,32 @@ def validate_requests(spark, sf_dir):
 
 
 def _search_input(spark, sf_dir):
-    metadata, found = _archived(spark, sf_dir)
-    projects = metadata.select("project_id").distinct()
-    # Passages are asked in every project: first word for all tools, or the first two for English only.
+    """One archive of all documents, asked for the first word (any tool) and the first two (English only)."""
+    obs = t.observations(spark, sf_dir).withColumn("project_id", F.lit("documents"))
+    metadata, found = plans.archive(obs, t.now())
     words = t.search_queries(spark, sf_dir)
     asked = words.select(
+        F.lit("documents").alias("project_id"),
         F.concat(F.lit("a"), "query_id").alias("query_id"),
         F.regexp_extract("query", r"^(\S+)", 1).alias("query"),
         F.lit(None).cast("string").alias("tool_name"),
         F.lit(7).alias("limit"),
     ).unionByName(
         words.select(
+            F.lit("documents").alias("project_id"),
             F.concat(F.lit("b"), "query_id").alias("query_id"),
             F.regexp_extract("query", r"^(\S+ \S+)", 1).alias("query"),
             F.lit("en").alias("tool_name"),
             F.lit(None).cast("int").alias("limit"),
         )
     )
-    named = projects.withColumn("_all", F.lit(1)).join(asked.withColumn("_all", F.lit(1)), "_all").drop("_all")
-    return named, metadata, found
+    return asked, metadata, found
 
 
 def search_observations(spark, sf_dir):
     out = re.search_observations(*_search_input(spark, sf_dir))
     return out.select(
-        "project_id", "query_id", F.col("rank").cast("long").alias("rank"), "observation_id", "truncated",
+        "query_id", F.col("rank").cast("long").alias("rank"), "observation_id", "truncated",
         F.array_join(F.transform("matches", lambda m: m["line"].cast("string")), ",").alias("lines"),
         fx.sha256(F.array_join(F.transform("matches", lambda m: m["text"]), "\n")).alias("text_hash"),
     )
@@ -374,14 +375,14 @@ ORACLES = {
     "search_observations": rf"""{_SANE}, {sql.QUERIES},
         asked AS (SELECT 'a' || query_id AS query_id, regexp_extract(query, '^(\S+)', 1) AS q, NULL AS tool, 7 AS lim FROM queries
             UNION ALL SELECT 'b' || query_id, regexp_extract(query, '^(\S+ \S+)', 1), 'en', 10 FROM queries),
-        {_lines("sane", "observation_id, project_id, tool_name, seq", "sanitized", 1024)},
+        {_lines("sane", "observation_id, tool_name, seq", "sanitized", 1024)},
         m AS (SELECT query_id, lim, l.*, row_number() OVER (PARTITION BY query_id, observation_id ORDER BY line) AS rn
               FROM asked JOIN lines l ON contains(lower(l.text), lower(q)) AND (tool IS NULL OR tool = tool_name)),
-        h AS (SELECT project_id, query_id, lim, observation_id, seq, string_agg(line::VARCHAR, ',' ORDER BY line) AS lines,
+        h AS (SELECT query_id, lim, observation_id, seq, string_agg(line::VARCHAR, ',' ORDER BY line) AS lines,
                      sha256(string_agg(text, chr(10) ORDER BY line)) AS text_hash FROM m WHERE rn <= 5 GROUP BY ALL),
-        r AS (SELECT *, row_number() OVER (PARTITION BY project_id, query_id ORDER BY seq DESC) AS rank FROM h)
-        SELECT project_id, query_id, rank, observation_id, lines, text_hash,
-               count(*) OVER (PARTITION BY project_id, query_id) >= lim AS truncated FROM r WHERE rank <= lim""",
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seq DESC) AS rank FROM h)
+        SELECT query_id, rank, observation_id, lines, text_hash,
+               count(*) OVER (PARTITION BY query_id) >= lim AS truncated FROM r WHERE rank <= lim""",
     "newest_first": f"{_SANE} SELECT seq AS position, observation_id FROM sane ORDER BY seq DESC LIMIT 20",
     "explode_lines": """SELECT doc_id::VARCHAR AS tool_call_id, len(string_split(text, chr(10)))::BIGINT AS lines,
         strlen(string_split(text, chr(10))[-1])::BIGINT AS last_line_bytes FROM documents""",

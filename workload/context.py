@@ -16,7 +16,7 @@ from obsframe.plans import retention as rplans
 
 from . import sql, tables as t
 
-SOFT, TARGET = 0.75, 0.6
+SOFT, TARGET = 0.75, 0.7
 PROMPT_BYTES = 300
 RECEIPT = 512
 

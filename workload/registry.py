@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("archive", "context")
+AREAS = ("archive", "context", "corpus")
 
 
 def _merged(attribute: str) -> dict:

@@ -10,11 +10,11 @@ from obsframe.session import configure
 # Parameters of the workload, used on the Spark and the SQL side alike.
 THRESHOLD = 4096
 RECEIPT_MAX = 1024
-WINDOW_TOKENS = 1200
+WINDOW_TOKENS = 1800
 HOT = 1
 NOW = "2024-01-31 00:00:00"
 RETENTION_DAYS = 20
-QUOTA = 40_000
+QUOTA = 120_000
 GENERATION_RETENTION = 3
 GENERATION_QUOTA = 20_000
 
