@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("archive", "context", "corpus")
+AREAS = ("archive", "context", "corpus", "storage")
 
 
 def _merged(attribute: str) -> dict:
