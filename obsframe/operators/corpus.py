@@ -70,10 +70,10 @@ def _per_file(declarations: DataFrame, with_package: bool) -> DataFrame:
     )
 
 
-def index_corpus(files: DataFrame) -> dict[str, DataFrame]:
-    """Index files that carry an ``outcome`` (see admission): files and warnings.
+def index_corpus(files: DataFrame) -> DataFrame:
+    """File records of everything whose ``outcome`` (see admission) is ``indexed``.
 
-    files: project_id, path, outcome, content, read_error.
+    files: project_id, path, outcome, content.
     """
     base = classify_files(files.filter(F.col("outcome") == "indexed"))
     semantic = base.filter(F.col("kind") == "semantic").select(*FILE, "language", "text")
@@ -96,14 +96,18 @@ def index_corpus(files: DataFrame) -> dict[str, DataFrame]:
         "package_name",
         "degraded_reason",
     )
-    warnings = base.filter(F.col("degraded_reason").isNotNull()).select(
+    return indexed
+
+
+def index_warnings(indexed: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One warning per degraded or unreadable file.  outcomes: project_id, path, outcome, message."""
+    degraded = indexed.filter(F.col("degraded_reason").isNotNull()).select(
         *FILE, F.lit("parse-error").alias("code"), bounded_message("degraded_reason").alias("message")
-    ).unionByName(
-        files.filter(F.col("outcome") == "read-error").select(
-            *FILE, F.lit("read-error").alias("code"), bounded_message("read_error").alias("message")
-        )
     )
-    return {"files": indexed, "warnings": warnings}
+    unread = outcomes.filter(F.col("outcome") == "read-error").select(
+        *FILE, F.lit("read-error").alias("code"), bounded_message("message").alias("message")
+    )
+    return degraded.unionByName(unread)
 
 
 def warnings_summary(warnings: DataFrame) -> DataFrame:

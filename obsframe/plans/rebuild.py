@@ -23,7 +23,7 @@ def rebuild(
 
     Returns the workspace and what was published.
     """
-    indexed = index_files(files, rules, exclude)
+    indexed = index_files(files, rules, exclude, stage=True)
     active = read_active(heads.sparkSession, root)
     previous = active["files"].drop("generation")
     fresh_base = indexed["files"].unionByName(

@@ -127,9 +127,9 @@ ARTIFACTS = T.StructType(
         T.StructField("content", T.StringType()),
         T.StructField("size", T.LongType()),
         T.StructField("modified_at", T.TimestampType()),
-        T.StructField("batch_id", T.LongType()),
         T.StructField("project_id", T.StringType()),
         T.StructField("shard", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
     ]
 )
 
@@ -142,7 +142,8 @@ def write_artifacts(artifacts: DataFrame, path: str, batch_id: int) -> None:
     """Store artifacts whose hash is absent.
 
     Each batch owns its partition and replaces it when it runs again, so a repeated write changes nothing.
-    Earlier batches are read for their ids only.
+    Earlier batches are read for their ids only.  Files are sorted by project and hash: their statistics prune as well
+    as a folder per shard would, without its hundreds of small files per batch.
     """
     spark = artifacts.sparkSession
     stored = read_artifacts(spark, path).filter(F.col("batch_id") != batch_id).select("project_id", "artifact_id")
@@ -153,9 +154,10 @@ def write_artifacts(artifacts: DataFrame, path: str, batch_id: int) -> None:
         fresh.withColumn("batch_id", F.lit(batch_id).cast("long"))
         .select(*ARTIFACTS.fieldNames())
         .hint("rebalance", "project_id", "shard")
+        .sortWithinPartitions("project_id", "artifact_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", "project_id", "shard")
+        .partitionBy("batch_id")
         .parquet(path)
     )
 
