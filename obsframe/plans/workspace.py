@@ -11,7 +11,8 @@ from ..operators import overlay as ov
 from ..operators import search, turns
 from ..operators.ordered import top_k
 from ..params import Params
-from .corpus import Index, build_index, search_corpus
+from ..session import scratch
+from .corpus import Index, search_corpus, write_index
 
 KEY = ["project_id", "path"]
 
@@ -83,7 +84,9 @@ def query_map(
 
     Everything is read from one workspace state, so results and provenance always belong together.
     """
-    results = search_corpus(index or build_index(workspace.files), queries, limit)
+    if index is None:
+        index = write_index(workspace.files, scratch(queries.sparkSession))
+    results = search_corpus(index, queries, limit)
     state = (
         queries.select("project_id", "query_id")
         .join(workspace.freshness, "project_id")

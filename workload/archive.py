@@ -199,18 +199,18 @@ def validate_requests(spark, sf_dir):
 
 def _search_input(spark, sf_dir):
     """One archive of all documents, asked for the first word (any tool) and the first two (English only)."""
-    obs = t.observations(spark, sf_dir).withColumn("project_id", F.lit("documents"))
+    obs = t.observations(spark, sf_dir).withColumn("project_id", F.substring("session_id", 1, 3))
     metadata, found = plans.archive(obs, t.now())
     words = t.search_queries(spark, sf_dir)
     asked = words.select(
-        F.lit("documents").alias("project_id"),
+        "project_id",
         F.concat(F.lit("a"), "query_id").alias("query_id"),
         F.regexp_extract("query", r"^(\S+)", 1).alias("query"),
         F.lit(None).cast("string").alias("tool_name"),
         F.lit(7).alias("limit"),
     ).unionByName(
         words.select(
-            F.lit("documents").alias("project_id"),
+            "project_id",
             F.concat(F.lit("b"), "query_id").alias("query_id"),
             F.regexp_extract("query", r"^(\S+ \S+)", 1).alias("query"),
             F.lit("en").alias("tool_name"),

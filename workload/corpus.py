@@ -13,6 +13,7 @@ from obsframe.operators import overlay as ov
 from obsframe.operators import search as se
 from obsframe.plans import corpus as plans
 from obsframe.plans import workspace as ws
+from obsframe.session import scratch
 
 from . import sql, tables as t
 
@@ -211,11 +212,11 @@ def dependencies(spark, sf_dir):
 # --- search ------------------------------------------------------------------------------------------
 
 
-def _records(spark, sf_dir, project=None):
-    """Documents as indexed files without declarations."""
+def _records(spark, sf_dir, together=False):
+    """Documents as indexed files without declarations, one project per source or all together."""
     files = t.document_files(spark, sf_dir)
-    if project is not None:
-        files = files.withColumn("project_id", F.lit(project))
+    if together:
+        files = files.withColumn("project_id", t.one_project())
     empty = {
         "imports": ex.IMPORT_TYPE, "exports": ex.EXPORT_TYPE, "symbols": ex.SYMBOL_TYPE, "dependencies": "array<string>",
     }
@@ -227,10 +228,6 @@ def _records(spark, sf_dir, project=None):
     )
 
 
-def _asked(spark, sf_dir, project="documents"):
-    return t.search_queries(spark, sf_dir).withColumn("project_id", F.lit(project))
-
-
 def corpus_stats(spark, sf_dir):
     index = plans.build_index(_records(spark, sf_dir))
     return index.doc_stats.select("project_id", "field", "n_docs", F.round("avg_length", 6).alias("avg_length"))
@@ -241,14 +238,14 @@ def term_stats(spark, sf_dir):
 
 
 def expand_terms(spark, sf_dir):
-    asked = se.split_queries(_asked(spark, sf_dir)).select("q_term").distinct()
+    asked = se.split_queries(t.search_queries(spark, sf_dir)).select("q_term").distinct()
     words = t.document_files(spark, sf_dir).select(F.explode(F.array_distinct(fx.field_tokens("text"))).alias("term")).distinct()
     return se.expand_terms(asked, words).select("q_term", "term", "match", F.round("weight", 6).alias("weight"))
 
 
 def search_corpus(spark, sf_dir):
-    index = plans.build_index(_records(spark, sf_dir, "documents"))
-    return plans.search_corpus(index, _asked(spark, sf_dir)).select(
+    index = plans.write_index(_records(spark, sf_dir, together=True), scratch(spark))
+    return plans.search_corpus(index, t.search_queries(spark, sf_dir)).select(
         "query_id", F.col("rank").cast("long").alias("rank"), "path", "score"
     )
 
@@ -370,10 +367,10 @@ def freshness(spark, sf_dir):
 
 def _evidence_input(spark, sf_dir):
     """Passages are asked of the documents and of the passages themselves."""
-    files = _records(spark, sf_dir, "documents").select("project_id", "path", "lexical_terms").withColumn(
+    files = _records(spark, sf_dir, together=True).select("project_id", "path", "lexical_terms").withColumn(
         "text", F.when(F.startswith("path", F.lit("en")), F.array_join("lexical_terms", "+"))
     )
-    asked = _asked(spark, sf_dir)
+    asked = t.search_queries(spark, sf_dir)
     state = asked.select("project_id").distinct().withColumn("freshness", F.lit("stale"))
     return asked, files, state
 

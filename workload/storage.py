@@ -158,8 +158,8 @@ def rebuild(spark, sf_dir):
     return active["generation"].join(files_, "project_id", "left").select("project_id", "generation", "freshness", "files")
 
 
-def _map(spark, sf_dir, project):
-    files = corpus._records(spark, sf_dir, project)
+def _map(spark, sf_dir):
+    files = corpus._records(spark, sf_dir, together=True)
     heads = files.select("project_id").distinct().withColumn("head", F.concat(F.lit("head-"), "project_id"))
     outcomes = files.select("project_id", "path", F.lit("indexed").alias("outcome"), "content_hash")
     warnings = outcomes.filter(F.lit(False)).select("project_id", "path", F.lit("").alias("code"), F.lit("").alias("message"))
@@ -167,8 +167,8 @@ def _map(spark, sf_dir, project):
 
 
 def query_map(spark, sf_dir):
-    state, _ = _map(spark, sf_dir, "documents")
-    found = ws.query_map(state, corpus._asked(spark, sf_dir), limit=5)
+    state, _ = _map(spark, sf_dir)
+    found = ws.query_map(state, t.search_queries(spark, sf_dir), limit=5)
     return found["results"].join(found["state"], ["project_id", "query_id"]).select(
         "query_id", F.col("rank").cast("long").alias("rank"), "path", "score", "freshness", "workspace_revision"
     )
@@ -180,9 +180,12 @@ def _calls(spark, sf_dir):
 
 def capsules(spark, sf_dir):
     """Capsules of every model call in the conversations, over the documents as their corpus."""
-    state, heads = _map(spark, sf_dir, "conversations")
+    state, heads = _map(spark, sf_dir)
     params = Params(map_context_max_bytes=CAPSULE_BYTES)
-    out = ws.capsules(t.spoken(spark, sf_dir), _calls(spark, sf_dir), state, heads, 1, params)
+    # Conversations belong to the project of the documents.
+    here = F.substring(F.concat(F.lit("src"), "session_id"), 1, 3)
+    spoken = t.spoken(spark, sf_dir).withColumn("project_id", here)
+    out = ws.capsules(spoken, _calls(spark, sf_dir).withColumn("project_id", here), state, heads, 1, params)
     body = F.substring("capsule", len(tn.CAPSULE_HEADER) + 1, CAPSULE_BYTES)
     return out.select(
         "session_id", "call_id", "built", (fx.byte_len("capsule") <= CAPSULE_BYTES).alias("within"),
@@ -378,7 +381,7 @@ ORACLES = {
         1::BIGINT AS remaining_generations, true AS quota_satisfied, generation AS lowest_left FROM active""",
     "query_map": corpus.ORACLES["search_corpus"].replace(
         "SELECT query_id, rank, path, score FROM ranked WHERE rank <= 10",
-        "SELECT query_id, rank, path, score, 'fresh' AS freshness, sha256('head-documents') AS workspace_revision FROM ranked WHERE rank <= 5",
+        "SELECT query_id, rank, path, score, 'fresh' AS freshness, sha256('head-src') AS workspace_revision FROM ranked WHERE rank <= 5",
     ),
     "capsules": rf"""WITH {context._TURNS}, clean AS (SELECT *, regexp_replace(text, '^[{sql.SPACE}]+|[{sql.SPACE}]+$', '', 'g') AS q FROM turned),
         c AS (SELECT session_id, msg_idx, turn, min(msg_idx) OVER (PARTITION BY session_id, turn) AS first_call FROM turned WHERE role = 'assistant')

@@ -118,12 +118,19 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
         "text",
         "doc_id",
+        "source",
     )
 
 
+def one_project():
+    """A project for all documents, derived from the source name (src0, src1, ...)."""
+    return F.substring("source", 1, 3)
+
+
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """benchmark passages as queries: their first three words."""
     return table(spark, sf_dir, "benchmark").select(
+        F.substring(F.concat(F.lit("src"), "item_id"), 1, 3).alias("project_id"),
         F.col("item_id").cast("string").alias("query_id"),
         F.array_join(F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 3), " ").alias("query"),
     )
