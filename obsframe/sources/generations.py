@@ -94,29 +94,33 @@ def read_pointers(spark: SparkSession, root: str) -> DataFrame:
     return newest.filter(F.coalesce(formed, F.lit(False)))
 
 
-def invalid_generations(spark: SparkSession, root: str) -> DataFrame:
-    """(project_id, generation) with any violation: one bad row rejects the generation as a whole."""
+def invalid_generations(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
+    """Those of ``keys`` (project_id, generation) with any violation: one bad row rejects the generation as a whole.
+
+    The keys join on the partition columns, so only their partitions are read.
+    """
     dirty_bad = F.col("path").isNull() | ~F.coalesce(
         F.col("content_hash").rlike(HASH) | (F.col("content_hash") == "deleted"), F.lit(False)
     )
     warning_bad = (
         F.col("path").isNull() | F.col("message").isNull() | ~F.coalesce(F.col("code").isin(*WARNING_CODES), F.lit(False))
     )
-    bad = [
-        read_table(spark, root, "files").filter(invalid_file()),
-        read_table(spark, root, "warnings").filter(warning_bad),
-        read_table(spark, root, "dirty").filter(dirty_bad),
-        read_table(spark, root, "pending").filter(F.col("path").isNull()),
-        read_generations(spark, root).filter(invalid_generation()),
+    checks = [
+        (read_table(spark, root, "files"), invalid_file()),
+        (read_table(spark, root, "warnings"), warning_bad),
+        (read_table(spark, root, "dirty"), dirty_bad),
+        (read_table(spark, root, "pending"), F.col("path").isNull()),
+        (read_generations(spark, root), invalid_generation()),
     ]
-    return reduce(DataFrame.unionByName, [b.select(*KEY) for b in bad]).distinct()
+    found = [df.join(keys, KEY, "left_semi").filter(bad).select(*KEY) for df, bad in checks]
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def read_snapshot(spark: SparkSession, root: str, project_id: str, generation: int) -> dict[str, DataFrame]:
     """One generation of one project; raises when it is missing or any part of it is invalid."""
     here = (F.col("project_id") == project_id) & (F.col("generation") == generation)
     ledger = read_generations(spark, root).filter(here)
-    if ledger.isEmpty() or not invalid_generations(spark, root).filter(here).isEmpty():
+    if ledger.isEmpty() or not invalid_generations(spark, root, ledger.select(*KEY)).isEmpty():
         raise ValueError(f"unsupported or invalid snapshot: {project_id} generation {generation}")
     return {"generation": ledger, **{n: read_table(spark, root, n).filter(here) for n in TABLES}}
 
@@ -124,10 +128,12 @@ def read_snapshot(spark: SparkSession, root: str, project_id: str, generation: i
 def read_active(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The active generation of every project that has a valid one.
 
-    The pointer side is small and joins on the partition columns, so only active partitions are scanned.
+    Pointers and valid ledger rows (one per project) are staged and join on the partition columns, so only active
+    partitions are scanned.
     """
-    ledger = read_generations(spark, root).join(read_pointers(spark, root).select(*KEY), KEY, "left_semi")
-    valid = ledger.join(invalid_generations(spark, root), KEY, "left_anti")
+    pointed = staged(read_pointers(spark, root).select(*KEY))
+    ledger = read_generations(spark, root).join(pointed, KEY, "left_semi")
+    valid = staged(ledger.join(invalid_generations(spark, root, pointed), KEY, "left_anti"))
     keys = valid.select(*KEY)
     return {"generation": valid, **{n: read_table(spark, root, n).join(keys, KEY, "left_semi") for n in TABLES}}
 
@@ -201,19 +207,16 @@ def _write(df: DataFrame, path: str) -> None:
 def publish_generation(workspace: Workspace, heads: DataFrame, root: str, now: Column) -> DataFrame:
     """Publish the state of all projects; returns (project_id, generation) of what became active.
 
-    A project equal to its active generation is left alone.  Numbers are one above every number ever used.  Data
-    partitions are replaced as a whole, so a failed attempt is overwritten by the next, and until its pointer row is
-    appended nobody can see it.
+    A project equal to its active generation is left alone.  The ledger row comes first and claims the number, then
+    the data, and the pointer row last: until then nobody can see the generation, and the number of a failed attempt
+    is never used again.
     """
     spark = heads.sparkSession
     ledger = read_generations(spark, root)
     active = ledger.join(read_pointers(spark, root).select(*KEY), KEY, "left_semi").select(
         "project_id", F.col("semantic_hash").alias("_active")
     )
-    pointers = read_or_empty(spark, f"{root}/pointers", POINTERS).select(*KEY)
-    known = (
-        ledger.select(*KEY).unionByName(pointers).groupBy("project_id").agg(F.max("generation").alias("_known"))
-    )
+    known = ledger.groupBy("project_id").agg(F.max("generation").alias("_known"))
     chosen = staged(
         semantic_hashes(workspace, heads)
         .join(active, "project_id", "left")
@@ -227,8 +230,6 @@ def publish_generation(workspace: Workspace, heads: DataFrame, root: str, now: C
     numbers = chosen.select(*KEY)
     parts = {name: df.join(numbers, "project_id") for name, df in _parts(workspace).items()}
     sizes = parts["files"].groupBy("project_id").agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes"))
-    for name, df in parts.items():
-        _write(df, f"{root}/{name}")
     rows = chosen.join(sizes, "project_id", "left").select(
         "project_id",
         F.lit(SCHEMA_VERSION).alias("schema_version"),
@@ -243,6 +244,8 @@ def publish_generation(workspace: Workspace, heads: DataFrame, root: str, now: C
         "generation",
     )
     _write(rows, f"{root}/generations")
+    for name, df in parts.items():
+        _write(df, f"{root}/{name}")
     numbers.select(
         *KEY, F.concat(F.lit("generations/"), F.col("generation").cast("string")).alias("path"), now.alias("activated_at")
     ).write.mode("append").parquet(f"{root}/pointers")
@@ -250,9 +253,10 @@ def publish_generation(workspace: Workspace, heads: DataFrame, root: str, now: C
 
 
 def generation_ledger(spark: SparkSession, root: str) -> DataFrame:
-    """Ledger for pruning: every generation with its size, whether it is active and whether it is valid."""
-    active = read_pointers(spark, root).select(*KEY, F.lit(True).alias("is_active"))
-    invalid = invalid_generations(spark, root).withColumn("_bad", F.lit(True))
+    """Ledger for pruning: every generation with its size, whether it is active and, if so, whether it is valid."""
+    pointed = staged(read_pointers(spark, root).select(*KEY))
+    active = pointed.withColumn("is_active", F.lit(True))
+    invalid = invalid_generations(spark, root, pointed).withColumn("_bad", F.lit(True))
     return (
         read_generations(spark, root)
         .join(active, KEY, "left")

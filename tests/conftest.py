@@ -13,6 +13,9 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # Tiny inputs: interpreting expressions is much faster than compiling them.
+        .config("spark.sql.codegen.wholeStage", "false")
+        .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

@@ -163,11 +163,14 @@ def test_failed_publication_is_invisible(spark, tmp_path):
     root = str(tmp_path / "map")
     h = heads(spark, "p")
     rb.rebuild(raw(spark, [("p", "a.txt", "one")]), h, root, now())
-    # Data of a second generation without a pointer: what a crash leaves behind.
+    # A claimed number and data without a pointer: what a crash leaves behind.
+    claim = gen.read_generations(spark, root).withColumn("generation", F.lit(2).cast("long"))
+    gen._write(spark.createDataFrame(claim.collect(), claim.schema), f"{root}/generations")
     orphan = gen.read_table(spark, root, "files").withColumn("generation", F.lit(2).cast("long")).withColumn("path", F.lit("ghost"))
     gen._write(spark.createDataFrame(orphan.collect(), orphan.schema), f"{root}/files")
     assert [r.path for r in gen.read_active(spark, root)["files"].collect()] == ["a.txt"]
-    rb.rebuild(raw(spark, [("p", "a.txt", "two")]), h, root, now())
+    _, published = rb.rebuild(raw(spark, [("p", "a.txt", "two")]), h, root, now())
+    assert published.first().generation == 3
     assert [r.path for r in gen.read_active(spark, root)["files"].collect()] == ["a.txt"]
 
 
