@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 
 from ..sources.generations import publish_generation, read_active
 from .corpus import index_files
-from .workspace import Workspace, overlay
+from .workspace import Workspace, overlay, stage
 
 
 def rebuild(
@@ -33,7 +33,7 @@ def rebuild(
             "left_semi",
         )
     )
-    workspace = overlay(
-        fresh_base, indexed, heads, previous_files=previous, previous_dirty=active["dirty"].drop("generation")
+    workspace = stage(
+        overlay(fresh_base, indexed, heads, previous_files=previous, previous_dirty=active["dirty"].drop("generation"))
     )
     return workspace, publish_generation(workspace, heads, root, now)

@@ -6,8 +6,6 @@ import hashlib
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from obsframe.operators import admission as ad
 from obsframe.operators import overlay as ov
 from obsframe.operators import search as se
@@ -86,7 +84,7 @@ def raw(spark, sources, project="p"):
 
 
 def first_paths(spark, sources, queries, limit=5):
-    index = plans.build_index(plans.index_files(raw(spark, sources))["files"])
+    index = plans.build_index(plans.index_files(raw(spark, sources), stage=True)["files"])
     asked = spark.createDataFrame([("p", q, q) for q in queries], "project_id string, query_id string, query string")
     rows = plans.search_corpus(index, asked, limit).orderBy("query_id", "rank").collect()
     return {q: [r for r in rows if r.query_id == q] for q in queries}
@@ -194,7 +192,6 @@ def test_revision_is_order_free_and_linear(spark):
 
 def state(spark, base, now, previous_dirty=None):
     """``now`` maps a path to text, or to an outcome name."""
-    odd = ("missing", "read-error", "non-regular")
     files = spark.createDataFrame(
         [
             ("p", p, bytearray(b"\0bin") if t == "non-text" else bytearray(t.encode()), t != "missing", t != "non-regular", "boom" if t == "read-error" else None)
@@ -202,10 +199,9 @@ def state(spark, base, now, previous_dirty=None):
         ],
         "project_id string, path string, content binary, present boolean, is_regular boolean, read_error string",
     )
-    assert odd
-    before = plans.index_files(raw(spark, base))["files"]
+    before = plans.index_files(raw(spark, base), stage=True)["files"]
     heads = spark.createDataFrame([("p", "h")], "project_id string, head string")
-    return ws.overlay(before, plans.index_files(files), heads, previous_dirty=previous_dirty)
+    return ws.stage(ws.overlay(before, plans.index_files(files, stage=True), heads, previous_dirty=previous_dirty))
 
 
 def facts(w):
@@ -286,4 +282,3 @@ def test_ordering_and_batches(spark):
     assert got == [1, 1, 1, 1, 2, 2, 2, 2, 3, 3]
     ledger = spark.createDataFrame([("p", i, v) for i, v in enumerate("aabba")], "project_id string, generation long, v string")
     assert [r.generation for r in ov.suppress_noops(ledger, ["v"]).orderBy("generation").collect()] == [0, 2, 4]
-    assert F is not None

@@ -110,8 +110,9 @@ def _full(workspace):
 def _published(spark, sf_dir):
     root = scratch(spark)
     heads = corpus._heads(spark, sf_dir)
-    for curated in (False, False, True):  # the second publication equals the first and adds nothing
-        gen.publish_generation(_full(_state(spark, sf_dir, curated)), heads, root, t.now())
+    first = ws.stage(_full(_state(spark, sf_dir, False)))
+    for state in (first, first, ws.stage(_full(_state(spark, sf_dir, True)))):  # the second adds nothing
+        gen.publish_generation(state, heads, root, t.now())
     return root
 
 
@@ -167,7 +168,7 @@ def _map(spark, sf_dir):
 
 
 def query_map(spark, sf_dir):
-    state, _ = _map(spark, sf_dir)
+    state = ws.stage(_map(spark, sf_dir)[0])
     found = ws.query_map(state, t.search_queries(spark, sf_dir), limit=5)
     return found["results"].join(found["state"], ["project_id", "query_id"]).select(
         "query_id", F.col("rank").cast("long").alias("rank"), "path", "score", "freshness", "workspace_revision"
@@ -181,6 +182,7 @@ def _calls(spark, sf_dir):
 def capsules(spark, sf_dir):
     """Capsules of every model call in the conversations, over the documents as their corpus."""
     state, heads = _map(spark, sf_dir)
+    state = ws.stage(state)
     params = Params(map_context_max_bytes=CAPSULE_BYTES)
     # Conversations belong to the project of the documents.
     here = F.substring(F.concat(F.lit("src"), "session_id"), 1, 3)
