@@ -99,32 +99,36 @@ def reduction_candidates(
     messages: DataFrame, metadata: DataFrame, artifacts: DataFrame, pressure: DataFrame, hot: int, receipt_max: int
 ) -> DataFrame:
     """Cold, paired, archived results of triggered conversations whose receipt is smaller than their text."""
-    # Pairing needs ids only; results carry their text through one exchange on the session key.
-    results = messages.filter(F.col("role") == "toolResult")
+    # Message content stays where it is: everything the joins need of it is measured here.
+    text = block_text("content")
+    results = messages.filter(F.col("role") == "toolResult").filter(text.isNotNull() & ~is_receipt(text)).select(
+        *MESSAGE,
+        "tool_call_id",
+        "is_error",
+        byte_len(text).alias("text_bytes"),
+        message_bytes().alias("bytes_before"),
+        message_bytes(replace_text_blocks("content", F.lit(""))).alias("bytes_empty"),
+    )
     triggered = pressure.filter("triggered").select(*SESSION, "total_bytes", "target_tokens")
     cold = (
         results.join(triggered, SESSION)
         .join(hot_set(messages, hot), SESSION)
         .filter(F.col("msg_idx") < F.col("hot_from"))
-        .withColumn("text", block_text("content"))
-        .filter(F.col("text").isNotNull() & ~is_receipt("text"))
         .drop("hot_from")
     )
     known = lookup_by_call(paired_results(cold, messages), metadata).filter(F.col("artifact_id").isNotNull())
-    stored = known.join(
+    stored = known.withColumnRenamed("archived_tool", "tool_name").join(
         artifacts.select("project_id", "artifact_id", F.col("content").alias("sanitized")),
         ["project_id", "artifact_id"],
     )
-    # The receipt names the tool that was archived.
-    named = stored.withColumn("_tool", F.col("tool_name")).withColumn("tool_name", F.col("archived_tool"))
-    with_receipt = receipt(named, receipt_max).withColumn("tool_name", F.col("_tool"))
-    smaller = with_receipt.filter(byte_len("receipt") < byte_len("text"))
-    return smaller.select(
+    with_receipt = receipt(stored, receipt_max).filter(byte_len("receipt") < F.col("text_bytes"))
+    escaped_bytes = byte_len(F.to_json(F.array("receipt"))) - 4  # without brackets and quotes
+    return with_receipt.select(
         *MESSAGE,
         "total_bytes",
         "target_tokens",
         "receipt",
-        (message_bytes() - message_bytes(replace_text_blocks("content", F.col("receipt")))).alias("saving"),
+        (F.col("bytes_before") - F.col("bytes_empty") - escaped_bytes).alias("saving"),
     )
 
 

@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Session windows merge inside map tasks before the shuffle.
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

@@ -9,6 +9,7 @@ from obsframe.functions import text as fx
 from obsframe.operators import archive as ar
 from obsframe.operators import retrieve as re
 from obsframe.plans import archive as plans
+from obsframe.session import staged
 from obsframe.sources.tables import artifact_inventory
 
 from . import sql, tables as t
@@ -200,7 +201,7 @@ def validate_requests(spark, sf_dir):
 def _search_input(spark, sf_dir):
     """One archive of all documents, asked for the first word (any tool) and the first two (English only)."""
     obs = t.observations(spark, sf_dir).withColumn("project_id", F.substring("session_id", 1, 3))
-    metadata, found = plans.archive(obs, t.now())
+    metadata, found = (staged(df) for df in plans.archive(obs, t.now()))
     words = t.search_queries(spark, sf_dir)
     asked = words.select(
         "project_id",
