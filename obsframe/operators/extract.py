@@ -180,27 +180,14 @@ def ts_declarations(files: DataFrame) -> DataFrame:
     rows = top.withColumn("head", head).filter(F.trim("head") != "")
     h = F.col("head")
     is_function = h.rlike(_FUNCTION)
-    is_block = ~F.col("is_function") & h.rlike(_BLOCK) & F.endswith("raw", F.lit("{"))
-    is_alias = ~F.col("is_function") & ~F.col("is_block") & h.rlike(_ALIAS)
+    is_block = ~is_function & h.rlike(_BLOCK) & F.endswith("raw", F.lit("{"))
+    is_alias = ~is_function & ~is_block & h.rlike(_ALIAS)
     is_variable = h.rlike(_VARIABLE)
     is_import = h.rlike(r"\A\s*import\b\s*(?![.(" + OPEN + r"])")
     prefix = F.regexp_extract(h, _PREFIX, 1)
     exported = prefix.rlike(r"\b(?:export|default)\b")
     default = prefix.rlike(r"\bdefault\b")
 
-    # Columns of their own: each is read many times below.
-    rows = rows.withColumns(
-        {
-            "is_function": is_function,
-            "is_variable": is_variable,
-            "is_import": is_import,
-            "exported": exported,
-            "default": default,
-        }
-    ).withColumn("is_block", is_block).withColumn("is_alias", is_alias)
-    is_function, is_variable, is_import = F.col("is_function"), F.col("is_variable"), F.col("is_import")
-    is_block, is_alias, exported, default = F.col("is_block"), F.col("is_alias"), F.col("exported"), F.col("default")
-
     # Symbols.
     fn_name = F.coalesce(_group(h, _FUNCTION, 2), F.lit("default"))
     word = F.regexp_replace(F.regexp_extract(h, _BLOCK, 2), r"\Aconst\s+", "")
@@ -246,8 +233,8 @@ def ts_declarations(files: DataFrame) -> DataFrame:
     )
 
     # A column of its own: exports read the symbols several times.
-    rows = rows.withColumn("symbols", symbols.cast(SYMBOL_TYPE))
-    symbols = F.col("symbols")
+    rows = rows.withColumn("symbols", symbols.cast(SYMBOL_TYPE)).withColumn("exported", exported)
+    symbols, exported = F.col("symbols"), F.col("exported")
 
     # Imports.
     source = restored(F.coalesce(_group(h, _FROM, 1), F.regexp_extract(h, r"\A\s*import\s*[\"']([^\"']*)[\"']", 1)))
@@ -386,23 +373,12 @@ def java_declarations(files: DataFrame) -> DataFrame:
         F.regexp_extract_all("raw", F.lit(_ANNOTATION), F.lit(1)), lambda a: F.regexp_replace(a, r"\s+", "")
     )
     modifiers = F.filter(F.split(F.trim(F.regexp_replace(F.regexp_extract(h, _JAVA_MODS, 1), r"\s+", " ")), " "), lambda m: m != "")
-    # Columns of their own: each is read many times below.
-    rows = rows.withColumns(
-        {
-            "annotations": annotations,
-            "modifiers": modifiers,
-            "header": src.render_signature(restored(h)),
-            "container": container,
-            "open_public": open_public,
-            "rest": F.regexp_extract(h, _JAVA_TYPE, 4),
-        }
-    ).withColumn("public", F.array_contains("modifiers", "public"))
-    annotations, modifiers, header, container = (F.col(c) for c in ("annotations", "modifiers", "header", "container"))
-    open_public, public = F.col("open_public"), F.col("public")
+    public = F.array_contains(modifiers, "public")
+    header = src.render_signature(restored(h))
 
     # Types.
     is_type = F.col("type_kind").isNotNull()
-    rest = F.col("rest")
+    rest = F.regexp_extract(h, _JAVA_TYPE, 4)
     params = F.regexp_extract(rest, _TYPE_PARAMS, 1)
     tail = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(rest, _TYPE_PARAMS, ""), rf"\A\s*{PARENS}", " "))
 
@@ -435,18 +411,11 @@ def java_declarations(files: DataFrame) -> DataFrame:
     is_compact = in_type & (F.col("opener.kind") == "record") & F.endswith("raw", F.lit("{")) & (
         F.regexp_extract(h, _JAVA_MODS + rf"({NAME})\s*\z", 2) == F.col("opener.name")
     )
-    is_method = in_type & ~F.col("is_constructor") & h.rlike(_METHOD)
+    is_method = in_type & ~is_constructor & h.rlike(_METHOD)
     in_constants = (F.col("opener.kind") == "enum") & (F.col("_after") == 0)
-    is_field = in_type & ~F.col("is_method") & ~F.col("is_constructor") & h.rlike(_FIELD) & (
+    is_field = in_type & ~is_method & ~is_constructor & h.rlike(_FIELD) & (
         F.endswith("raw", F.lit(";")) | h.rlike(r"=")
     )
-    rows = (
-        rows.withColumns({"is_constructor": is_constructor, "is_compact": is_compact, "pieces": split_top_level(h)})
-        .withColumn("is_method", is_method)
-        .withColumn("is_field", is_field)
-    )
-    is_constructor, is_compact = F.col("is_constructor"), F.col("is_compact")
-    is_method, is_field = F.col("is_method"), F.col("is_field")
     constructor = _symbol(
         F.col("opener.name"), F.lit("constructor"), header, public,
         _line_of(rf"\A([\s\S]*?){NAME}\s*{OPEN}"), container, annotations, modifiers,
@@ -460,7 +429,7 @@ def java_declarations(files: DataFrame) -> DataFrame:
         method_name, F.lit("method"), header, public | open_public, method_line, container, annotations, modifiers,
         _inner_list(F.trim(F.regexp_extract(h, _METHOD, 2))),
     )
-    pieces = F.col("pieces")
+    pieces = split_top_level(h)
     fields = F.transform(
         pieces,
         lambda p, i: _symbol(
