@@ -25,8 +25,8 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# A text without this substring has no match.
-HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+# A text that this finds nothing in has no match of the pattern.
+HINTS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+[0-9]", "number": "[0-9]", "key": "[0-9]", "secret": "[=:]"}
 
 # Wide candidate generators: runs of digits with separators, long tokens that hold a digit, assignments to a secret's name.
 GENERATORS = {
@@ -52,9 +52,8 @@ class PiiParams:
     precision: float = 0.98
 
 
-def _matches(text: Column, pattern: str, hint: str | None) -> Column:
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.when(text.contains(hint), found).otherwise(F.array().cast("array<string>")) if hint else found
+def _matches(text: Column, pattern: str, hinted: Column) -> Column:
+    return F.when(hinted, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def _located(text: Column, matches: Column, pattern: str) -> Column:
@@ -138,18 +137,14 @@ def _sure(generator: str, span: Column) -> Column:
     return match.rlike(r"[=:].*[0-9].*[0-9]") & (F.length(match) >= 16)
 
 
-def _generate(docs: DataFrame, generators) -> DataFrame:
-    """Add for each pattern its located matches as column ``_<name>``."""
+def _generate(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """Add for each pattern its located matches as column ``_<name>``.  Most texts pass none of the hints, each tried once."""
     text = F.coalesce(F.col("_text"), F.lit(""))
-    out = docs
-    for name, (pattern, hint) in generators.items():
-        out = out.withColumn(f"_m_{name}", _matches(text, pattern, hint))
-    for name, (pattern, _) in generators.items():
-        out = out.withColumn(f"_{name}", _located(text, F.col(f"_m_{name}"), pattern))
-    return out.drop(*[f"_m_{name}" for name in generators])
-
-
-_WIDE = {name: (pattern, None) for name, pattern in GENERATORS.items()}
+    hints = {HINTS[name]: f"_h_{i}" for i, name in enumerate(patterns)}
+    out = docs.withColumns({column: text.rlike(hint) for hint, column in hints.items()})
+    out = out.withColumns({f"_m_{name}": _matches(text, pattern, F.col(hints[HINTS[name]])) for name, pattern in patterns.items()})
+    out = out.withColumns({f"_{name}": _located(text, F.col(f"_m_{name}"), pattern) for name, pattern in patterns.items()})
+    return out.drop(*hints.values(), *[f"_m_{name}" for name in patterns])
 
 
 def train(docs: DataFrame, p: PiiParams = PiiParams()) -> dict | None:
@@ -159,7 +154,7 @@ def train(docs: DataFrame, p: PiiParams = PiiParams()) -> dict | None:
     of the documents (by a hash of the text) fit the trees, odd ones set for each generator the lowest threshold at which
     the share of sure candidates above it is at least ``precision``.  None when there is no candidate.
     """
-    found = _generate(docs.select(F.col("text").cast("string").alias("_text")), _WIDE)
+    found = _generate(docs.select(F.col("text").cast("string").alias("_text")), GENERATORS)
 
     def cell(g: str):
         return lambda s: F.struct(
@@ -212,7 +207,7 @@ def find(docs: DataFrame, model: dict | None, name: str = "pii") -> DataFrame:
     that touch none of them and no earlier accepted one.  Null and empty texts have none.
     """
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != name]).alias("_doc"), F.col("text").cast("string").alias("_text"))
-    out = _generate(held, {k: (PATTERNS[k], HINTS[k]) for k in KINDS})
+    out = _generate(held, PATTERNS)
 
     def kept(k: str) -> Column:
         valid = F.filter(F.col(f"_{k}"), lambda s: _valid(k, s["match"]))
@@ -221,7 +216,7 @@ def find(docs: DataFrame, model: dict | None, name: str = "pii") -> DataFrame:
     out = out.withColumn("_base", F.concat(*map(kept, KINDS))).drop(*[f"_{k}" for k in KINDS])
     if model is None:
         return out.select("_doc.*", F.col("_base").alias(name))
-    out = _generate(out, _WIDE)
+    out = _generate(out, GENERATORS)
     out = out.withColumn("_more", F.concat(*[_accepted(g, model) for g in GENERATORS]))
     free = F.filter("_more", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     ordered = F.array_sort(F.transform(free, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["kind"].alias("kind"))))
