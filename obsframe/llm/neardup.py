@@ -20,8 +20,9 @@ from obsframe.session import staged
 class NearDupParams:
     """252 registers in 42 bands of 6: a pair at similarity 0.8 shares no band with probability 3e-6.
 
-    ``slack`` is how far below the threshold an estimate may lie before the pair is left unconfirmed: seven standard
-    deviations of the estimate at 0.8.
+    ``slack`` is how far below the threshold an estimate may lie before the pair is left unconfirmed: five standard
+    deviations of the estimate at 0.8.  Components of ``hub_size`` classes or more are compared in blocks of
+    ``block_rows`` with what lies around them; this decides the way of a comparison, not whether it is made.
     """
 
     words: int = 2
@@ -29,7 +30,9 @@ class NearDupParams:
     bands: int = 42
     rows: int = 6
     mantissa_bits: int = 10
-    slack: float = 0.18
+    slack: float = 0.13
+    hub_size: int = 8
+    block_rows: int = 512
 
     @property
     def registers(self) -> int:
@@ -158,6 +161,46 @@ def _confirm_batches(p: NearDupParams):
     return run
 
 
+def _block_links(p: NearDupParams):
+    least = p.percent / 100 - p.slack
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Links between the left block and the members of other components in the right one."""
+        ids, multipliers, out = WordIds(), _multipliers(p.registers), []
+
+        def sets(table: pa.Table):
+            return [shingle_set(t, p.words, ids) for t in table.column("text").to_pylist()]
+
+        if left.num_rows and right.num_rows:
+            xs, ys = sets(left), sets(right)
+            sketches = np.array([registers(y, multipliers, p.mantissa_bits) for y in ys])
+            sizes = np.array([len(y) for y in ys], dtype=float)
+            cid, component = (right.column(c).to_numpy() for c in ("cid", "component"))
+            merged: set[tuple[int, int]] = set()
+            for x, a, own in zip(xs, left.column("cid").to_pylist(), left.column("component").to_pylist(), strict=True):
+                n = float(len(x))
+                near = estimate(registers(x, multipliers, p.mantissa_bits)[None], sketches, n, sizes, p.mantissa_bits) >= least
+                near &= (100 * np.minimum(n, sizes) >= p.percent * np.maximum(n, sizes)) & (component != own)
+                for j in np.flatnonzero(near).tolist():
+                    # Of two components one link is enough.
+                    if (own, int(component[j])) in merged:
+                        continue
+                    both = len(np.intersect1d(x, ys[j], assume_unique=True))
+                    if 100 * both >= p.percent * (len(x) + len(ys[j]) - both):
+                        merged.add((own, int(component[j])))
+                        out.append((a, int(cid[j])))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return run
+
+
+def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cid, digest, text of the classes ``wanted`` (cid): by the id of one of their documents."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("text"))
+    named = classes.select("cid", "rep", "digest").join(wanted, "cid")
+    return staged(texts.join(named, F.col("_id").eqNullSafe(F.col("rep"))).select("cid", "digest", "text"))
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
     """The pairs (a, b) of classes that reach the threshold: estimated on registers, then confirmed on full sets."""
     side = lambda x: classes.select(
@@ -166,25 +209,47 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDupPara
     likely = staged(
         pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimate_batches(p), "a long, b long").distinct()
     )
-    # A class is fetched by the id of one of its documents; rows of that id with another text are told by the digest.
-    wanted = likely.select(F.col("a").alias("cid")).union(likely.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("text"))
-    named = classes.select("cid", "rep", "digest").join(wanted, "cid")
-    found = texts.join(named, F.col("_id").eqNullSafe(F.col("rep"))).select("cid", "digest", "text")
-    found = staged(found)
+    # Rows of a class's id with another text are told by the digest.
+    found = _texts(likely.select(F.col("a").alias("cid")).union(likely.select("b")).distinct(), classes, docs)
     of = lambda x: found.select(
         F.col("cid").alias(x), F.col("text").alias(f"text_{x}"), F.col("digest").alias(f"digest_{x}")
     )
     return staged(likely.join(of("b"), "b").join(of("a"), "a").mapInArrow(_confirm_batches(p), "a long, b long").distinct())
 
 
+def _around_hubs(open_rows: DataFrame, hubs: DataFrame, groups: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
+    """Links of components (component, hub) with the members of their hub and with each other, block against block.
+
+    Pairs are made and tested inside a task; only links leave it.  A block holds about ``block_rows`` classes on each side.
+    """
+    around = open_rows.select("cid", "component").distinct().join(hubs.filter("component <> hub"), "component")
+    inside = groups.select(F.col("id").alias("cid"), F.col("component")).join(
+        around.select(F.col("hub").alias("component")).distinct(), "component"
+    )
+    left = around.select("hub", "cid", "component")
+    right = left.union(inside.select(F.col("component").alias("hub"), "cid", "component"))
+    sizes = left.groupBy("hub").agg(F.ceil(F.count("*") / p.block_rows).cast("int").alias("_l")).join(
+        right.groupBy("hub").agg(F.ceil(F.count("*") / p.block_rows).cast("int").alias("_r")), "hub"
+    )
+    texts = _texts(right.select("cid").distinct(), classes, docs)
+    checked = lambda df: df.join(sizes, "hub").join(texts.select("cid", "text"), "cid")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    a = checked(left).withColumn("l", F.pmod(F.xxhash64("cid"), F.col("_l"))).withColumn("r", every("_r"))
+    b = checked(right).withColumn("r", F.pmod(F.xxhash64("cid"), F.col("_r"))).withColumn("l", every("_l"))
+    # Aliases make the columns of both sides different ones.
+    names = ("hub", "l", "r", "cid", "component", "text")
+    cut = lambda df: df.select(*[F.col(n).alias(n) for n in names]).groupBy("hub", "l", "r")
+    return staged(cut(a).cogroup(cut(b)).applyInArrow(_block_links(p), "a long, b long").distinct())
+
+
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, text_hash (xxhash64), n_shingles, component_id, kept.
 
     * Documents with equal shingle sets are one class before any pair is looked at, so copies cost one row each.
     * Classes that share a band meet the smallest and the largest class of that bucket, not each other.
     * After the components of those links, members of a bucket that are still in different components meet each other:
-      no link that could join two components is lost.  Members of one component never meet.
+      no link that could join two components is lost.  Members of one component never meet.  What lies around a large
+      component meets it in blocks, inside tasks; other pairs are rows.
     * Text null or without words: n_shingles 0, linked with nothing, component_id = doc_id.
     * Repeated rows are each returned.  A null doc_id is never a component's id unless all its ids are null.
     """
@@ -205,17 +270,27 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     )
     first = _links(stars, classes, docs, p)
     groups = staged(components(first))
-    # Buckets that still hold several components: pairs across them, but for those with the bucket's ends, seen above.
-    labelled = met.join(groups.withColumnRenamed("id", "cid"), "cid", "left").select(
-        "key", "cid", "lo", "hi", F.coalesce("component", "cid").alias("component")
+    # Buckets that still hold several components: all pairs across components meet, around a hub or one by one.
+    labelled = bands.join(groups.withColumnRenamed("id", "cid"), "cid", "left").select(
+        "key", "cid", F.coalesce("component", "cid").alias("component")
     )
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("_c"), F.max("component").alias("_d")).filter("_c < _d").select("key")
-    inner = staged(labelled.join(open_keys, "key", "left_semi").filter("cid > lo and cid < hi").select("key", "cid", "component"))
-    left = inner.select("key", F.col("cid").alias("a"), F.col("component").alias("_ca"))
-    right = inner.select("key", F.col("cid").alias("b"), F.col("component").alias("_cb"))
-    across = left.join(right, "key").filter("a < b and _ca <> _cb").select("a", "b").distinct()
-    second = _links(across, classes, docs, p)
-    groups = staged(components(first.union(second)))
+    rows = staged(labelled.join(open_keys, "key", "left_semi"))
+    sizes = groups.groupBy("component").agg(F.count("*").alias("_n"))
+    sized = rows.select("key", "component").distinct().join(sizes, "component", "left")
+    tops = sized.groupBy("key").agg(F.max(F.struct(F.coalesce("_n", F.lit(1)).alias("n"), "component")).alias("top"))
+    # The largest component that a component shares a bucket with.
+    hubs = staged(
+        sized.join(tops, "key").groupBy("component").agg(F.max("top").alias("top"))
+        .filter(F.col("top.n") >= p.hub_size).select("component", F.col("top.component").alias("hub"))
+    )
+    second = _around_hubs(rows, hubs, groups, classes, docs, p)
+    named = rows.join(hubs, "component", "left").select("key", "cid", "component", F.coalesce("hub", -F.col("component") - 1).alias("hub"))
+    left = named.select("key", F.col("cid").alias("a"), F.col("component").alias("_ca"), F.col("hub").alias("_ha"))
+    right = named.select("key", F.col("cid").alias("b"), F.col("component").alias("_cb"), F.col("hub").alias("_hb"))
+    across = left.join(right, "key").filter("a < b and _ca <> _cb and _ha <> _hb and _ha <> _cb and _hb <> _ca")
+    third = _links(across.select("a", "b").distinct(), classes, docs, p)
+    groups = staged(components(first.union(second).union(third)))
     ids = (
         classes.select("cid", "digest", "rep")
         .join(groups.withColumnRenamed("id", "cid"), "cid", "left")
@@ -237,11 +312,12 @@ def keep_one(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """
     flags = staged(near_duplicates(docs.select("doc_id", "text"), p))
     key = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("binary")) == F.col("_hash"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.col("text").cast("binary")).alias("_text"))
+    match = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
     # Only what goes is looked up, the smaller part as a rule; its join is an equi-join that Spark may broadcast by size.
-    out = docs.join(key(flags.filter("not kept")).distinct(), match, "left_anti")
+    out = rows.join(key(flags.filter("not kept")).distinct(), match, "left_anti")
     counted = flags.filter("kept and n_shingles > 0").groupBy("doc_id", "text_hash").agg(F.count("*").alias("_n"))
     repeated = staged(key(counted.filter("_n > 1")))
-    if repeated.isEmpty():
-        return out
-    return out.join(repeated, match, "left_anti").unionByName(out.join(repeated, match, "left_semi").dropDuplicates(["doc_id", "text"]))
+    if not repeated.isEmpty():
+        out = out.join(repeated, match, "left_anti").unionByName(out.join(repeated, match, "left_semi").dropDuplicates(["_doc", "_text"]))
+    return out.select("_row.*")
