@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from obsframe.llm.components import components
 from obsframe.llm.shingles import WordIds, shingle_set
-from obsframe.session import staged
+from obsframe.session import scratch, staged
 
 
 @dataclass(frozen=True)
@@ -142,18 +142,11 @@ def _confirm_batches(p: NearDupParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, last, own = WordIds(), None, None
         for batch in batches:
-            cols = [batch.column(c) for c in ("a", "b", "text_a", "text_b", "digest_a", "digest_b")]
             keep = []
-            for row in zip(*cols, strict=True):
-                a, _, text_a, text_b, digest_a, digest_b = (v.as_py() for v in row)
-                if (a, text_a) != last:
-                    last, own = (a, text_a), shingle_set(text_a, p.words, ids)
-                    if xxhash.xxh3_128_digest(own.tobytes()) != digest_a:
-                        own = None  # another row of the same doc_id
-                other = shingle_set(text_b, p.words, ids)
-                if own is None or xxhash.xxh3_128_digest(other.tobytes()) != digest_b:
-                    keep.append(False)
-                    continue
+            for a, text_a, text_b in zip(*(batch.column(c) for c in ("a", "text_a", "text_b")), strict=True):
+                if a.as_py() != last:
+                    last, own = a.as_py(), shingle_set(text_a.as_py(), p.words, ids)
+                other = shingle_set(text_b.as_py(), p.words, ids)
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 keep.append(100 * both >= p.percent * (len(own) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -194,30 +187,32 @@ def _block_links(p: NearDupParams):
     return run
 
 
-def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """cid, digest, text of the classes ``wanted`` (cid): by the id of one of their documents."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("text"))
-    named = classes.select("cid", "rep", "digest").join(wanted, "cid")
-    return staged(texts.join(named, F.col("_id").eqNullSafe(F.col("rep"))).select("cid", "digest", "text"))
+def _members(met: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """cid, n_shingles, sketch, text of the classes that share a bucket: written once, read by every comparison.
+
+    A class is fetched by the id and the hash of the text of one of its documents.
+    """
+    spark = docs.sparkSession
+    text = F.col("text").cast("binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("text"))
+    named = classes.join(met.select("cid").distinct(), "cid")
+    match = F.col("_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("_hash") == F.col("rep.text_hash"))
+    path = f"{scratch(spark)}/members"
+    texts.join(named, match).select("cid", "n_shingles", "sketch", "text").write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
+def _links(pairs: DataFrame, members: DataFrame, p: NearDupParams) -> DataFrame:
     """The pairs (a, b) of classes that reach the threshold: estimated on registers, then confirmed on full sets."""
-    side = lambda x: classes.select(
+    side = lambda x: members.select(
         F.col("cid").alias(x), F.col("sketch").alias(f"sketch_{x}"), F.col("n_shingles").alias(f"n_{x}")
     )
-    likely = staged(
-        pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimate_batches(p), "a long, b long").distinct()
-    )
-    # Rows of a class's id with another text are told by the digest.
-    found = _texts(likely.select(F.col("a").alias("cid")).union(likely.select("b")).distinct(), classes, docs)
-    of = lambda x: found.select(
-        F.col("cid").alias(x), F.col("text").alias(f"text_{x}"), F.col("digest").alias(f"digest_{x}")
-    )
-    return staged(likely.join(of("b"), "b").join(of("a"), "a").mapInArrow(_confirm_batches(p), "a long, b long").distinct())
+    likely = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimate_batches(p), "a long, b long"))
+    of = lambda x: members.select(F.col("cid").alias(x), F.col("text").alias(f"text_{x}"))
+    return staged(likely.join(of("b"), "b").join(of("a"), "a").mapInArrow(_confirm_batches(p), "a long, b long"))
 
 
-def _around_hubs(open_rows: DataFrame, hubs: DataFrame, groups: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
+def _around_hubs(open_rows: DataFrame, hubs: DataFrame, groups: DataFrame, members: DataFrame, p: NearDupParams) -> DataFrame:
     """Links of components (component, hub) with the members of their hub and with each other, block against block.
 
     Pairs are made and tested inside a task; only links leave it.  A block holds about ``block_rows`` classes on each side.
@@ -231,8 +226,7 @@ def _around_hubs(open_rows: DataFrame, hubs: DataFrame, groups: DataFrame, class
     sizes = left.groupBy("hub").agg(F.ceil(F.count("*") / p.block_rows).cast("int").alias("_l")).join(
         right.groupBy("hub").agg(F.ceil(F.count("*") / p.block_rows).cast("int").alias("_r")), "hub"
     )
-    texts = _texts(right.select("cid").distinct(), classes, docs)
-    checked = lambda df: df.join(sizes, "hub").join(texts.select("cid", "text"), "cid")
+    checked = lambda df: df.join(sizes, "hub").join(members.select("cid", "text"), "cid")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
     a = checked(left).withColumn("l", F.pmod(F.xxhash64("cid"), F.col("_l"))).withColumn("r", every("_r"))
     b = checked(right).withColumn("r", F.pmod(F.xxhash64("cid"), F.col("_r"))).withColumn("l", every("_l"))
@@ -257,21 +251,25 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     classes = staged(
         sketches.filter("n_shingles > 0")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        .agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("rep"),
+            F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"),
+        )
         .withColumn("cid", F.monotonically_increasing_id())
     )
     bands = classes.select("cid", "sketch").mapInArrow(_band_batches(p), "key long, cid long")
     ends = bands.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo < hi")
-    met = bands.join(ends, "key")
+    met = staged(bands.join(ends, "key"))
+    members = _members(met, classes, docs)
     stars = (
         met.filter("cid > lo").select(F.col("lo").alias("a"), F.col("cid").alias("b"))
         .union(met.filter("cid > lo and cid < hi").select("cid", "hi"))
         .distinct()
     )
-    first = _links(stars, classes, docs, p)
+    first = _links(stars, members, p)
     groups = staged(components(first))
     # Buckets that still hold several components: all pairs across components meet, around a hub or one by one.
-    labelled = bands.join(groups.withColumnRenamed("id", "cid"), "cid", "left").select(
+    labelled = met.join(groups.withColumnRenamed("id", "cid"), "cid", "left").select(
         "key", "cid", F.coalesce("component", "cid").alias("component")
     )
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("_c"), F.max("component").alias("_d")).filter("_c < _d").select("key")
@@ -284,19 +282,19 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
         sized.join(tops, "key").groupBy("component").agg(F.max("top").alias("top"))
         .filter(F.col("top.n") >= p.hub_size).select("component", F.col("top.component").alias("hub"))
     )
-    second = _around_hubs(rows, hubs, groups, classes, docs, p)
+    second = _around_hubs(rows, hubs, groups, members, p)
     named = rows.join(hubs, "component", "left").select("key", "cid", "component", F.coalesce("hub", -F.col("component") - 1).alias("hub"))
     left = named.select("key", F.col("cid").alias("a"), F.col("component").alias("_ca"), F.col("hub").alias("_ha"))
     right = named.select("key", F.col("cid").alias("b"), F.col("component").alias("_cb"), F.col("hub").alias("_hb"))
     across = left.join(right, "key").filter("a < b and _ca <> _cb and _ha <> _hb and _ha <> _cb and _hb <> _ca")
-    third = _links(across.select("a", "b").distinct(), classes, docs, p)
+    third = _links(across.select("a", "b").distinct(), members, p)
     groups = staged(components(first.union(second).union(third)))
     ids = (
         classes.select("cid", "digest", "rep")
         .join(groups.withColumnRenamed("id", "cid"), "cid", "left")
         .withColumn("component", F.coalesce("component", "cid"))
     )
-    least = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
+    least = ids.groupBy("component").agg(F.min("rep.doc_id").alias("component_id"))
     by_digest = ids.join(least, "component").select("digest", "component_id")
     out = sketches.select("doc_id", "text_hash", "n_shingles", "digest").join(by_digest, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
