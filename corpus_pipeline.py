@@ -59,7 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Batches of the documents that are left, by their number of words: doc_id, length, bucket, padded_length, batch, slot."""
     configure(spark)
-    return packing.pack(docs.select("doc_id", packing.word_count(F.col("text")).alias("length")))
+    return packing.pack(packing.word_lengths(docs))
 
 
 STAGES = [

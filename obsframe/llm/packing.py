@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsframe.llm.common import key_hash, positions
+from obsframe.session import staged
 
 
 @dataclass(frozen=True)
@@ -26,6 +29,18 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [len((t.as_py() or b"").split()) for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64())], names=["doc_id", "length"])
+
+
+def word_lengths(docs: DataFrame) -> DataFrame:
+    """doc_id, length (see word_count) of each row of ``docs``, staged: each text is read once."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return staged(source.mapInArrow(_count_batches, "doc_id long, length long"))
+
+
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper lengths of at most ``buckets`` buckets over sorted distinct lengths, least total padding; of ties the lowest.
 

@@ -37,8 +37,7 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of all documents by their number of words."""
-    docs = _read(spark, sf_dir, "documents")
-    return packing.pack(docs.select("doc_id", packing.word_count(F.col("text")).alias("length")))
+    return packing.pack(packing.word_lengths(_read(spark, sf_dir, "documents")))
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,8 +99,9 @@ def test_pack(spark):
 
 def test_word_count(spark):
     texts = [None, "", " \t", "a", " a  b\n", "é  ö", "x " * 10_000, "a b", "\x0b\x0c\rz"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [r[0] for r in df.select(packing.word_count(F.col("t"))).collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r[0] for r in df.select(packing.word_count(F.col("text"))).collect()]
+    assert got == [r.length for r in packing.word_lengths(df).orderBy("doc_id").collect()]
     assert got == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
 
 
