@@ -48,11 +48,12 @@ def resolve(pages: DataFrame, least_bytes: int) -> DataFrame:
     return joined.filter(F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))).distinct()
 
 
-def records(pages: DataFrame, date: str, least_bytes: int) -> DataFrame:
-    """value: the text of a record without its end, with fresh headers; page_id and digest to deal them by."""
-    again = staged(resolve(pages, least_bytes)).select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "original")
-    full = _headers(pages)
-    joined = full.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+def records(pages: DataFrame, date: str, least_bytes: int, files: int) -> DataFrame:
+    """value: the text of a record without its end, with fresh headers, dealt to ``files`` partitions."""
+    key = _record_id(F.col("page_id"), F.col("digest"))
+    again = staged(resolve(pages, least_bytes)).select(key.alias("_key"), "original")
+    # Payloads move once: the join keeps how they are dealt.
+    joined = _headers(pages).withColumn("_key", key).repartition(files, "_key").join(again, "_key", "left")
     revisit = F.col("original").isNotNull()
     # A target is one line of visible characters.
     target = F.regexp_replace(F.coalesce(F.col("url"), F.lit("urn:none")), r"[\x00-\x20\x7F]", "%20")
@@ -71,7 +72,7 @@ def records(pages: DataFrame, date: str, least_bytes: int) -> DataFrame:
         F.lit("Content-Type: application/http;msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
-    return joined.select("page_id", "digest", F.concat(lines, F.lit(_END), block).alias("value"))
+    return joined.select(F.concat(lines, F.lit(_END), block).alias("value"))
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "2024-01-31T00:00:00Z", least_bytes: int = 100, file_bytes: int = 64 << 20) -> None:
@@ -85,8 +86,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-31T00:00:00
     """
     size = pages.agg(F.sum(F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))).cast("long"))).first()[0] or 0
     files = max(1, -(-size // file_bytes), pages.sparkSession.sparkContext.defaultParallelism if size > file_bytes else 1)
-    rows = records(pages, date, least_bytes).repartition(files, "page_id", "digest")
-    rows.select("value").write.option("lineSep", _END).option("compression", "gzip").text(path)
+    records(pages, date, least_bytes, files).write.option("lineSep", _END).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
