@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import (
     EXCLUDED_SEGMENTS,
-    IgnoreRule,
-    glob_regexes,
+    glob_regex,
     has_excluded_segment,
-    parse_rules,
     path_prefixes,
     rule_struct,
 )
@@ -24,23 +24,14 @@ def exclude_segments(df: DataFrame, segments: Sequence[str] = EXCLUDED_SEGMENTS)
     return df.filter(~has_excluded_segment("path", tuple(segments)))
 
 
-def exclude_globs(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
-    """Configured globs become one compiled alternation."""
-    regexes = glob_regexes(patterns)
-    return df.filter(~F.col("path").rlike("|".join(f"(?:{r})" for r in regexes))) if regexes else df
-
+def _excluded(patterns: Sequence[str]) -> Column:
+    """Whether a configured glob matches the path; patterns are constants of the plan."""
+    hits = [F.coalesce(F.rlike("path", glob_regex(F.lit(p))), F.lit(False)) for p in patterns]
+    return reduce(or_, hits, F.lit(False))
 
-def _literal_verdict(rules: Sequence[IgnoreRule]):
-    def verdict(p: Column) -> Column:
-        cases = []
-        for rule in reversed(rules):
-            hit = p["prefix" if rule.whole_path else "segment"].rlike(rule.regex)
-            if rule.directory_only:
-                hit = hit & p["is_directory"]
-            cases.append(F.when(hit, F.lit(not rule.negated)))
-        return F.coalesce(*cases, F.lit(False))
 
-    return verdict
+def exclude_globs(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    return df.filter(~_excluded(patterns)) if patterns else df
 
 
 def rule_arrays(rules: DataFrame) -> DataFrame:
@@ -70,8 +61,12 @@ def mark_ignored(paths: DataFrame, rules: Sequence[str] | DataFrame) -> DataFram
         joined = paths.join(rule_arrays(rules), "project_id", "left")
         ignored = F.coalesce(F.exists(path_prefixes("path"), _table_verdict), F.lit(False))
         return joined.withColumn("ignored", F.col("_rules").isNotNull() & ignored).drop("_rules")
-    parsed = parse_rules(rules)
-    ignored = F.exists(path_prefixes("path"), _literal_verdict(parsed)) if parsed else F.lit(False)
+    parsed = F.array(*[F.struct(F.lit(i).alias("rule_idx"), rule_struct(F.lit(r)).alias("rule")) for i, r in enumerate(rules)])
+    ignored = F.lit(False)
+    if rules:
+        listed = paths.withColumn("_rules", F.filter(parsed, lambda r: r["rule"].isNotNull()))
+        ignored = F.coalesce(F.exists(path_prefixes("path"), _table_verdict), F.lit(False))
+        return listed.withColumn("ignored", ignored).drop("_rules")
     return paths.withColumn("ignored", ignored)
 
 
@@ -86,10 +81,7 @@ def admit(paths: DataFrame, rules: Sequence[str] | DataFrame, exclude: Sequence[
 
 def mark_admitted(paths: DataFrame, rules: Sequence[str] | DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     """All paths, with ``admitted``."""
-    regexes = glob_regexes(exclude)
-    out = has_excluded_segment("path")
-    if regexes:
-        out = out | F.col("path").rlike("|".join(f"(?:{r})" for r in regexes))
+    out = has_excluded_segment("path") | _excluded(exclude)
     return mark_ignored(paths, rules).withColumn("admitted", ~out & ~F.col("ignored")).drop("ignored")
 
 

@@ -11,7 +11,7 @@ from .ordered import Running, position_chunks, running, top_k
 
 KEY = ["project_id", "path"]
 DELETED = "deleted"
-REVISION_ROWS = 10_000
+BUCKET_DIGITS = 3
 
 
 def non_regular_hash(path: Column | str) -> Column:
@@ -130,22 +130,17 @@ def _digest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(text.alias("_text"))
 
 
-def workspace_revision(head: DataFrame, dirty: DataFrame, linear_rows: int = REVISION_ROWS) -> DataFrame:
-    """SHA-256 over the head and the path-ordered dirty set; independent of event order.
+def workspace_revision(head: DataFrame, dirty: DataFrame) -> DataFrame:
+    """SHA-256 over the head and the dirty set; independent of event order, one definition for every size.
 
-    A set of up to ``linear_rows`` is hashed as one text.  A larger one is hashed in buckets of the path's
-    own hash and the bucket digests stand in for the entries, so no task ever gathers a whole huge project.
+    Entries are hashed in 4,096 buckets by the first three digits of the MD5 of their path; the ordered bucket digests
+    stand in for the entries, so no task gathers a whole project.
     """
-    counts = dirty.groupBy("project_id").agg(F.count(F.lit(1)).alias("_n"))
-    sized = dirty.select(*KEY, "content_hash").join(counts, "project_id")
-    small = sized.filter(F.col("_n") <= linear_rows)
-    buckets = F.ceil(F.col("_n") / (linear_rows // 2))
-    large = sized.filter(F.col("_n") > linear_rows).withColumn("_b", F.pmod(F.xxhash64("path"), buckets))
-    folded = _digest(large, ["project_id", "_b"]).select(
-        "project_id", F.format_string("%016x", "_b").alias("path"), F.sha2("_text", 256).alias("content_hash")
+    bucketed = dirty.select(*KEY, "content_hash").withColumn("_b", F.left(F.md5("path"), F.lit(BUCKET_DIGITS)))
+    folded = _digest(bucketed, ["project_id", "_b"]).select(
+        "project_id", F.col("_b").alias("path"), F.sha2("_text", 256).alias("content_hash")
     )
-    texts = _digest(small, ["project_id"]).unionByName(_digest(folded, ["project_id"]))
-    return head.join(texts, "project_id", "left").select(
+    return head.join(_digest(folded, ["project_id"]), "project_id", "left").select(
         "project_id",
         F.sha2(
             F.when(F.col("_text").isNull(), F.col("head")).otherwise(F.concat("head", F.lit("\0"), "_text")), 256

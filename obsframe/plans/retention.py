@@ -28,7 +28,3 @@ def maintenance(ledger: DataFrame, retention: int, quota: int) -> dict[str, Data
     """``decisions`` per generation and ``report`` per project."""
     pruned = rt.prune_generations(ledger, retention, quota)
     return {"decisions": pruned, "report": rt.generation_report(pruned, quota)}
-
-
-def stale_reports(report: DataFrame) -> DataFrame:
-    return report.filter(F.col("error").isNotNull())

@@ -16,6 +16,8 @@ from .corpus import Index, search_corpus, write_index
 
 KEY = ["project_id", "path"]
 
+NO_STATE = "no workspace state for this project"
+
 
 class Workspace(NamedTuple):
     files: DataFrame
@@ -92,10 +94,12 @@ def query_map(
     if index is None:
         index = write_index(workspace.files, scratch(queries.sparkSession))
     results = search_corpus(index, queries, limit)
+    # A query of a project without state stays, as stale.
     state = (
         queries.select("project_id", "query_id")
-        .join(workspace.freshness, "project_id")
-        .join(workspace.revision, "project_id")
+        .join(workspace.freshness, "project_id", "left")
+        .join(workspace.revision, "project_id", "left")
+        .withColumn("freshness", F.coalesce("freshness", F.lit("stale")))
     )
     files = workspace.files.select(*KEY, "lexical_terms")
     if texts is None:
@@ -147,12 +151,12 @@ def capsules(
     key = ["project_id", "query_id"]
     payload = (
         queries.join(found["state"], key)
-        .join(heads, "project_id")
+        .join(heads, "project_id", "left")
         .join(hits, key, "left")
         .join(evidence, key, "left")
         .join(pending, "project_id", "left")
         .withColumn("generation", F.lit(generation))
-        .withColumn("error", F.lit(None).cast("string"))
+        .withColumn("error", F.when(F.col("workspace_revision").isNull(), F.lit(NO_STATE)))
     )
     empty = {
         c: F.coalesce(c, F.array().cast(payload.schema[c].dataType)) for c in ("results", "evidence", "pending_files")

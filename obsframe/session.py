@@ -35,7 +35,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         context.setCheckpointDir(shared)
         return
-    if not context.master.startswith("local"):
+    if context.master.split("[")[0] != "local":  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="obsframe-checkpoint-"))
 

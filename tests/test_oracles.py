@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.check_oracles import compare, duck
+from workload import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 LIGHT = ("redact", "dedup_content", "turns", "gc_candidates", "apply_ignore_rules", "diff_overlay", "latest_per_path")
@@ -23,4 +24,6 @@ def test_query_equals_sql(spark, name):
 def test_registry_is_consistent():
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries)
-    assert set(queries) - set(oracles) == {"read_corpus", "rebuild", "code_segments"}
+    own = registry.queries()
+    assert set(own) <= set(queries)
+    assert set(own) - set(registry.oracle_sql()) == {"read_corpus", "rebuild", "code_segments"}

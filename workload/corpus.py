@@ -499,8 +499,10 @@ diff AS (
 
 
 def _revision(dirty: str) -> str:
-    return f"""SELECT h.project_id, sha256('head-' || h.project_id || coalesce(chr(0) || string_agg(d.path || chr(0) || d.hash, chr(0) ORDER BY d.path::BLOB), ''))
-        AS workspace_revision FROM (SELECT DISTINCT project_id FROM base) h LEFT JOIN ({dirty}) d USING (project_id) GROUP BY 1"""
+    return f"""SELECT h.project_id, sha256('head-' || h.project_id || coalesce(chr(0) || string_agg(d.b || chr(0) || d.hash, chr(0) ORDER BY d.b), ''))
+        AS workspace_revision FROM (SELECT DISTINCT project_id FROM base) h LEFT JOIN (
+          SELECT project_id, substr(md5(path), 1, 3) AS b, sha256(string_agg(path || chr(0) || hash, chr(0) ORDER BY path::BLOB)) AS hash
+          FROM ({dirty}) GROUP BY ALL) d USING (project_id) GROUP BY 1"""
 
 
 ORACLES = {
