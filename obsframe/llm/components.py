@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from obsframe.session import staged
 
+# Rows of a link table that one task takes.
+_TASK_ROWS = 100_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
@@ -27,11 +30,16 @@ def components(links: DataFrame) -> DataFrame:
     Every step is written to the checkpoint folder.  Stars have one row for each node, so no task gathers a component;
     the join of a node of many links is an equi-join whose other side has one row for the node.
     """
+    least = links.sparkSession.sparkContext.defaultParallelism
     edges = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    rows, seen = edges.count(), None
     while True:
-        edges = staged(_small_star(_large_star(edges)).filter("a <> b").distinct())
+        # A step makes at most two rows of each: a few links are not dealt over as many files as the session has partitions.
+        n = max(least, 2 * rows // _TASK_ROWS + 1)
+        large = _large_star(edges.coalesce(n)).coalesce(n)
+        edges = staged(_small_star(large).filter("a <> b").coalesce(n).distinct().coalesce(n))
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        rows = state[0]
         if state == seen:
             break
         seen = state
