@@ -15,6 +15,9 @@ from obsframe.llm.components import components
 from obsframe.llm.shingles import WordIds, shingle_set
 from obsframe.session import scratch, staged
 
+# Parts of the rows of one hub where they meet its sizes.
+_SALTS = 64
+
 
 @dataclass(frozen=True)
 class NearDupParams:
@@ -226,7 +229,10 @@ def _around_hubs(open_rows: DataFrame, hubs: DataFrame, groups: DataFrame, membe
     sizes = left.groupBy("hub").agg(F.ceil(F.count("*") / p.block_rows).cast("int").alias("_l")).join(
         right.groupBy("hub").agg(F.ceil(F.count("*") / p.block_rows).cast("int").alias("_r")), "hub"
     )
-    checked = lambda df: df.join(sizes, "hub").join(members.select("cid", "text"), "cid")
+    # A hub may hold most rows, so they meet its sizes under a salt.
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salt = F.pmod(F.hash("cid"), F.lit(_SALTS))
+    checked = lambda df: df.withColumn("salt", salt).join(salted, ["hub", "salt"]).join(members.select("cid", "text"), "cid")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
     a = checked(left).withColumn("l", F.pmod(F.xxhash64("cid"), F.col("_l"))).withColumn("r", every("_r"))
     b = checked(right).withColumn("r", F.pmod(F.xxhash64("cid"), F.col("_r"))).withColumn("l", every("_l"))
