@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from obsframe.llm.components import components
 from obsframe.llm.shingles import WordIds, shingle_set
-from obsframe.session import scratch, staged
+from obsframe.session import discard, scratch, staged
 
 # Parts of the rows of one hub where they meet its sizes.
 _SALTS = 64
@@ -190,8 +190,8 @@ def _block_links(p: NearDupParams):
     return run
 
 
-def _members(met: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """cid, n_shingles, sketch, text of the classes that share a bucket: written once, read by every comparison.
+def _members(met: DataFrame, classes: DataFrame, docs: DataFrame, path: str) -> DataFrame:
+    """cid, n_shingles, sketch, text of the classes that share a bucket: written once to ``path``, read by every comparison.
 
     A class is fetched by the id and the hash of the text of one of its documents.
     """
@@ -200,7 +200,6 @@ def _members(met: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("text"))
     named = classes.join(met.select("cid").distinct(), "cid")
     match = F.col("_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("_hash") == F.col("rep.text_hash"))
-    path = f"{scratch(spark)}/members"
     texts.join(named, match).select("cid", "n_shingles", "sketch", "text").write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
@@ -266,7 +265,8 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     bands = classes.select("cid", "sketch").mapInArrow(_band_batches(p), "key long, cid long")
     ends = bands.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo < hi")
     met = staged(bands.join(ends, "key"))
-    members = _members(met, classes, docs)
+    folder = scratch(docs.sparkSession)
+    members = _members(met, classes, docs, folder)
     stars = (
         met.filter("cid > lo").select(F.col("lo").alias("a"), F.col("cid").alias("b"))
         .union(met.filter("cid > lo and cid < hi").select("cid", "hi"))
@@ -294,6 +294,7 @@ def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> Data
     right = named.select("key", F.col("cid").alias("b"), F.col("component").alias("_cb"), F.col("hub").alias("_hb"))
     across = left.join(right, "key").filter("a < b and _ca <> _cb and _ha <> _hb and _ha <> _cb and _hb <> _ca")
     third = _links(across.select("a", "b").distinct(), members, p)
+    discard(docs.sparkSession, folder)
     groups = staged(components(first.union(second).union(third)))
     ids = (
         classes.select("cid", "digest", "rep")
