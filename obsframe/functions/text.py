@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 TERM_PATTERN = r"[\p{L}\p{N}_$-]{2,}"
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 SPACE_CLASS = r"\t-\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-MAX_TERMS_PER_FILE = 2000
 REPLACEMENT = "�"
 
 
@@ -110,10 +109,11 @@ def tool_label(c: Column | str) -> Column:
     return F.substring(F.regexp_replace(wide, r"[^\x20-\x7e]", "?"), 1, 64)
 
 
-def lexical_terms(path: Column | str, text: Column | str, limit: int = MAX_TERMS_PER_FILE) -> Column:
-    """Distinct terms in order of first occurrence."""
+def lexical_terms(path: Column | str, text: Column | str, limit: int | None = None) -> Column:
+    """Distinct terms in order of first occurrence: all of them, or the first ``limit``."""
     source = F.lower(F.concat(_col(path), F.lit(" "), _col(text)))
-    return F.slice(F.array_distinct(F.regexp_extract_all(source, F.lit(TERM_PATTERN), F.lit(0))), 1, limit)
+    terms = F.array_distinct(F.regexp_extract_all(source, F.lit(TERM_PATTERN), F.lit(0)))
+    return terms if limit is None else F.slice(terms, 1, limit)
 
 
 def query_terms(c: Column | str) -> Column:

@@ -324,10 +324,9 @@ ORACLES = {
         sha256(substr(text, 1, 4096)) AS excerpt_hash FROM obs""",
     "lexical_terms": rf"""WITH {sql.DOCUMENT_FILES},
         words AS (SELECT doc_id, {_TERMS.format("path || ' ' || text")} AS w FROM files),
-        seen AS (SELECT doc_id, term, min(i) AS i FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM words) GROUP BY 1, 2),
-        kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM seen)
+        kept AS (SELECT doc_id, term, min(i) AS i FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM words) GROUP BY 1, 2)
         SELECT doc_id, count(*) AS terms, sha256(string_agg(term, ' ' ORDER BY i)) AS terms_hash
-        FROM kept WHERE rn <= 2000 GROUP BY 1""",
+        FROM kept GROUP BY 1""",
     "eligible": f"WITH {sql.OBSERVATIONS} SELECT tool_name, count(*) AS n FROM obs WHERE text IS NOT NULL AND NOT starts_with(tool_name, 'e') GROUP BY 1",
     "dedup_content": f"""{_SANE} SELECT observation_id, artifact_id,
         row_number() OVER (PARTITION BY project_id, artifact_id ORDER BY seq) > 1 AS deduplicated FROM sane""",

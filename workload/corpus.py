@@ -436,7 +436,7 @@ _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_$-]{{2,}}')"
 _TERMS = rf"""lex0 AS (SELECT project_id, path, unnest(w) AS term, generate_subscripts(w, 1) AS i
     FROM (SELECT project_id, path, {_WORDS.format("path || ' ' || text")} AS w FROM files)),
 lex AS (SELECT *, row_number() OVER (PARTITION BY project_id, path ORDER BY i) AS rn
-        FROM (SELECT project_id, path, term, min(i) AS i FROM lex0 GROUP BY 1, 2, 3) QUALIFY rn <= 2000)"""
+        FROM (SELECT project_id, path, term, min(i) AS i FROM lex0 GROUP BY 1, 2, 3))"""
 _LINES = """ln AS (SELECT *, coalesce(regexp_extract(lower(l), '([a-z]+)', 1), '') AS w FROM (
     SELECT project_id, path, doc_id, text, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM files))"""
 _CLASSES = """ln AS (SELECT *, coalesce(regexp_extract(lower(l), '([a-z]+)', 1), '') AS w FROM (
@@ -467,7 +467,7 @@ _ASKED = rf"""{sql.QUERIES}, qt AS (SELECT DISTINCT query_id, unnest(regexp_extr
 
 
 def _expansion(vocabulary: str) -> str:
-    return f"""qd AS (SELECT DISTINCT q_term, length(q_term) AS n, least(6, (15 * length(q_term) + 50) // 100) AS d FROM qt),
+    return f"""qd AS (SELECT DISTINCT q_term, length(q_term) AS n, (15 * length(q_term) + 50) // 100 AS d FROM qt),
 voc AS (SELECT DISTINCT term, length(term) AS m FROM {vocabulary}),
 pairs AS (
   SELECT q_term, term, CASE WHEN q_term = term THEN 'exact' ELSE 'prefix' END AS match,
@@ -523,7 +523,7 @@ ORACLES = {
     "index_files": rf"""{_RAW}, w AS (SELECT project_id, path, count(DISTINCT term) AS terms FROM (
           SELECT project_id, path, unnest({_WORDS.format("path || ' ' || text")}) AS term FROM judged WHERE outcome = 'indexed') GROUP BY 1, 2)
         SELECT project_id, path, 'lexical' AS kind, 'text' AS language, sha256(text) AS content_hash, strlen(text)::BIGINT AS size_bytes,
-               least(2000, terms) AS terms, 0::BIGINT AS declared FROM judged JOIN w USING (project_id, path) WHERE outcome = 'indexed'""",
+               terms, 0::BIGINT AS declared FROM judged JOIN w USING (project_id, path) WHERE outcome = 'indexed'""",
     "index_warnings": f"{_RAW} SELECT project_id, path, 'read-error' AS code, 'cannot read ' || path AS message FROM judged WHERE outcome = 'read-error'",
     "warnings_summary": f"{_RAW} SELECT project_id, 'read-error' AS code, count(*) AS n FROM judged WHERE outcome = 'read-error' GROUP BY 1",
     "page_links": rf"""{_PAGES} SELECT DISTINCT project_id, path, unnest(regexp_extract_all(text, 'href="([^"]*)"', 1)) AS dependency FROM files""",
