@@ -74,6 +74,7 @@ public enum Finish { MATT, GLOSSY; int coats; }
 @interface Fragile { int grade() default 1; }
 """,
     "Cut.java": "package craft; class Cut { void shape(",
+    "Deep.java": "class Layer {\n" * (src.MAX_NESTING + 1) + "}" * (src.MAX_NESTING + 1),
 }
 
 
@@ -143,8 +144,9 @@ def test_open_sources_are_degraded(spark, found):
         spark.createDataFrame([("p", p, r["degraded_reason"]) for p, r in found.items()], "project_id string, path string, degraded_reason string"),
         files(spark, {"z": ""}).withColumnRenamed("read_error", "message"),
     ).collect()
-    assert {w["path"]: w["code"] for w in warnings} == {"open.ts": "parse-error", "Cut.java": "parse-error"}
-    for path in ("open.ts", "Cut.java"):
+    assert {w["path"]: w["code"] for w in warnings} == dict.fromkeys(("open.ts", "Cut.java", "Deep.java"), "parse-error")
+    assert "nesting" in found["Deep.java"]["degraded_reason"]
+    for path in ("open.ts", "Cut.java", "Deep.java"):
         assert found[path]["kind"] == "lexical" and not found[path]["symbols"]
 
 
