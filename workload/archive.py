@@ -44,7 +44,7 @@ def text_functions(spark, sf_dir):
         fx.sha256(fx.clip_bytes("text", 100)).alias("clip_hash"),
         fx.sha256(fx.byte_slice("text", 0, 333)).alias("head_hash"),
         fx.sha256(fx.bounded_message("text")).alias("message_hash"),
-        fx.sha256(fx.tool_label(F.substring("text", 1, 200))).alias("label_hash"),
+        fx.sha256(fx.tool_label("text")).alias("label_hash"),
         fx.sha256(fx.trimmed("text")).alias("trimmed_hash"),
         fx.sha256(fx.excerpt("text", F.array(F.lit("x")))).alias("excerpt_hash"),
     )
@@ -198,10 +198,14 @@ def validate_requests(spark, sf_dir):
     return rejects.select("doc_id", "reason").unionByName(valid.select("doc_id", F.lit("valid").alias("reason")))
 
 
+def _one_archive(spark, sf_dir):
+    obs = t.observations(spark, sf_dir).withColumn("project_id", F.substring("session_id", 1, 3))
+    return (staged(df) for df in plans.archive(obs, t.now()))
+
+
 def _search_input(spark, sf_dir):
     """One archive of all documents, asked for the first word (any tool) and the first two (English only)."""
-    obs = t.observations(spark, sf_dir).withColumn("project_id", F.substring("session_id", 1, 3))
-    metadata, found = (staged(df) for df in plans.archive(obs, t.now()))
+    metadata, found = _one_archive(spark, sf_dir)
     words = t.search_queries(spark, sf_dir)
     asked = words.select(
         "project_id",
@@ -221,8 +225,32 @@ def _search_input(spark, sf_dir):
     return asked, metadata, found
 
 
+def _passage_input(spark, sf_dir):
+    """The same archive asked for whole passages, of any tool and of English only."""
+    metadata, found = _one_archive(spark, sf_dir)
+    whole = t.passages(spark, sf_dir)
+
+    def asked(prefix, tool, limit):
+        return whole.select(
+            "project_id",
+            F.concat(F.lit(prefix), "query_id").alias("query_id"),
+            "query",
+            F.lit(tool).cast("string").alias("tool_name"),
+            F.lit(limit).cast("int").alias("limit"),
+        )
+
+    return asked("a", None, 7).unionByName(asked("b", "en", None)), metadata, found
+
+
 def search_observations(spark, sf_dir):
-    out = re.search_observations(*_search_input(spark, sf_dir))
+    return _hits(re.search_observations(*_search_input(spark, sf_dir)))
+
+
+def search_observations_passages(spark, sf_dir):
+    return _hits(re.search_observations(*_passage_input(spark, sf_dir)))
+
+
+def _hits(out):
     return out.select(
         "query_id", F.col("rank").cast("long").alias("rank"), "observation_id", "truncated",
         F.array_join(F.transform("matches", lambda m: m["line"].cast("string")), ",").alias("lines"),
@@ -270,7 +298,8 @@ QUERIES = {
     for f in (
         redact, identifiers, text_functions, lexical_terms, eligible, dedup_content, artifacts, inventory_listing,
         archive_projection, upsert_latest, archive, virtualize, receipt_totals, attach_content, lookup_by_id,
-        get_ranges, get_matches, validate_requests, search_observations, newest_first, explode_lines, page_matches,
+        get_ranges, get_matches, validate_requests, search_observations,
+        search_observations_passages, newest_first, explode_lines, page_matches,
         top_lines,
     )
 }
@@ -396,3 +425,12 @@ ORACLES = {
         SELECT session_id, observation_id, line::BIGINT AS line, line_rank, hit_rank FROM l JOIN h USING (session_id, observation_id)
         WHERE line_rank <= 5 AND hit_rank <= 20""",
 }
+# A request is valid up to the operator's 512 characters.
+_WORDS_ASKED = """asked AS (SELECT 'a' || query_id AS query_id, regexp_extract(query, '^(\\S+)', 1) AS q, NULL AS tool, 7 AS lim FROM queries
+            UNION ALL SELECT 'b' || query_id, regexp_extract(query, '^(\\S+ \\S+)', 1), 'en', 10 FROM queries)"""
+assert _WORDS_ASKED in ORACLES["search_observations"]
+ORACLES["search_observations_passages"] = sql.asked_whole(ORACLES["search_observations"]).replace(
+    _WORDS_ASKED,
+    """asked AS (SELECT 'a' || query_id AS query_id, query AS q, NULL AS tool, 7 AS lim FROM queries WHERE length(query) <= 512
+            UNION ALL SELECT 'b' || query_id, query, 'en', 10 FROM queries WHERE length(query) <= 512)""",
+)

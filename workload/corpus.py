@@ -167,6 +167,50 @@ def declared_exports(spark, sf_dir):
     )
 
 
+def _word_scripts(spark, sf_dir):
+    """Every word of a document line becomes a function of that line, which stands behind them whole as a comment."""
+    words = lambda l: F.regexp_extract_all(F.lower(l), F.lit("[a-z]+"), F.lit(0))
+    function = lambda w: F.concat(F.lit("export function f"), w, F.lit("(n: string, k = 2): void { use(n, k); } "))
+    lines = F.transform(
+        F.split("text", "\n"), lambda l: F.concat(F.array_join(F.transform(words(l), function), ""), F.lit("// "), l)
+    )
+    heads = F.transform(
+        F.split("text", "\n"),
+        lambda l, i: F.concat(F.lit('import { a } from "./'), i + 1, F.lit("/"), F.array_join(words(l), "-"), F.lit('.js"; // '), l),
+    )
+    return t.document_files(spark, sf_dir).select(
+        "project_id", "path", F.array_join(F.concat(heads, lines), "\n").alias("text"), "doc_id"
+    )
+
+
+def declarations_words(spark, sf_dir):
+    return ex.ts_symbols(_word_scripts(spark, sf_dir)).select("path", "name", "kind", "signature", "exported", "line")
+
+
+def declared_imports_words(spark, sf_dir):
+    return ex.ts_imports(_word_scripts(spark, sf_dir)).select("path", "source", F.array_join("names", ",").alias("names"), "type_only")
+
+
+def declared_exports_words(spark, sf_dir):
+    return ex.ts_exports(_word_scripts(spark, sf_dir)).groupBy("path").agg(
+        F.count(F.lit(1)).alias("exports"), F.min("name").alias("first"), F.max("name").alias("last")
+    )
+
+
+def java_members_words(spark, sf_dir):
+    """Every document becomes a class with a method for each word, the line whole behind its methods as a comment."""
+    method = lambda w: F.concat(F.lit("public String m"), w, F.lit("(int n, List<String> k) throws IOException { return k; } "))
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda l: F.concat(F.array_join(F.transform(F.regexp_extract_all(F.lower(l), F.lit("[a-z]+"), F.lit(0)), method), ""), F.lit("// "), l),
+    )
+    classes = t.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("project_id"), F.concat("doc_id", F.lit(".java")).alias("path"),
+        F.concat(F.lit("public final class D"), "doc_id", F.lit(" {\n"), F.array_join(lines, "\n"), F.lit("\n}\n")).alias("text"),
+    )
+    return ex.java_members(classes).select("path", "name", "kind", "signature", "exported", "line", "container")
+
+
 def _classes(spark, sf_dir):
     """Every document becomes a class with one method per line."""
     methods = F.transform(
@@ -238,14 +282,30 @@ def term_stats(spark, sf_dir):
 
 
 def expand_terms(spark, sf_dir):
-    asked = se.split_queries(t.search_queries(spark, sf_dir)).select("q_term").distinct()
+    return _expanded(spark, sf_dir, t.search_queries(spark, sf_dir))
+
+
+def expand_terms_passages(spark, sf_dir):
+    return _expanded(spark, sf_dir, t.passages(spark, sf_dir))
+
+
+def _expanded(spark, sf_dir, queries):
+    asked = se.split_queries(queries).select("q_term").distinct()
     words = t.document_files(spark, sf_dir).select(F.explode(F.array_distinct(fx.field_tokens("text"))).alias("term")).distinct()
     return se.expand_terms(asked, words).select("q_term", "term", "match", F.round("weight", 6).alias("weight"))
 
 
 def search_corpus(spark, sf_dir):
+    return _found(spark, sf_dir, t.search_queries(spark, sf_dir))
+
+
+def search_corpus_passages(spark, sf_dir):
+    return _found(spark, sf_dir, t.passages(spark, sf_dir))
+
+
+def _found(spark, sf_dir, queries):
     index = plans.write_index(_records(spark, sf_dir, together=True), scratch(spark))
-    return plans.search_corpus(index, t.search_queries(spark, sf_dir)).select(
+    return plans.search_corpus(index, queries).select(
         "query_id", F.col("rank").cast("long").alias("rank"), "path", "score"
     )
 
@@ -365,18 +425,25 @@ def freshness(spark, sf_dir):
     return ov.freshness(_heads(spark, sf_dir), none, failed, files, cur)
 
 
-def _evidence_input(spark, sf_dir):
+def _evidence_input(spark, sf_dir, queries=t.search_queries):
     """Passages are asked of the documents and of the passages themselves."""
     files = _records(spark, sf_dir, together=True).select("project_id", "path", "lexical_terms").withColumn(
         "text", F.when(F.startswith("path", F.lit("en")), F.array_join("lexical_terms", "+"))
     )
-    asked = t.search_queries(spark, sf_dir)
+    asked = queries(spark, sf_dir)
     state = asked.select("project_id").distinct().withColumn("freshness", F.lit("stale"))
     return asked, files, state
 
 
 def fallback_evidence(spark, sf_dir):
-    out = ov.fallback_evidence(*_evidence_input(spark, sf_dir))
+    return _evidence(ov.fallback_evidence(*_evidence_input(spark, sf_dir)))
+
+
+def fallback_evidence_passages(spark, sf_dir):
+    return _evidence(ov.fallback_evidence(*_evidence_input(spark, sf_dir, t.passages)))
+
+
+def _evidence(out):
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "kind", "path", fx.sha256("excerpt").alias("excerpt_hash"))
 
 
@@ -385,9 +452,10 @@ QUERIES = {
     for f in (
         path_functions, exclude_segments, exclude_globs, apply_ignore_rules, ignore_rule_tables, admit, classify_outcome,
         language, index_files, index_warnings, warnings_summary, page_links, code_segments, brace_depth, declarations,
+        declarations_words, declared_imports_words, declared_exports_words, java_members_words,
         declared_imports, declared_exports, java_types, java_members, java_imports, dependencies, corpus_stats, term_stats,
-        expand_terms, search_corpus, diff_overlay, diff_changed, paths_to_refresh, carry_forward, replace_by_key,
-        overlay_changed, overlay, workspace_revision, freshness, fallback_evidence,
+        expand_terms, expand_terms_passages, search_corpus, search_corpus_passages, diff_overlay, diff_changed, paths_to_refresh, carry_forward, replace_by_key,
+        overlay_changed, overlay, workspace_revision, freshness, fallback_evidence, fallback_evidence_passages,
     )
 }
 
@@ -603,3 +671,20 @@ ORACLES = {
                 UNION ALL SELECT query_id, 1, (SELECT min(path) FROM files) FROM queries WHERE query_id NOT IN (SELECT query_id FROM m))
         SELECT query_id, rank, 'source' AS kind, path, x AS excerpt_hash FROM hit JOIN e USING (path)""",
 }
+
+_LINE_WORDS = """lw AS (SELECT *, regexp_extract_all(lower(l), '[a-z]+') AS ws FROM (
+    SELECT doc_id, lang || '/' || doc_id || '.txt' AS path, unnest(string_split(text, chr(10))) AS l,
+           generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents)),
+wl AS (SELECT doc_id, path, i, n, unnest(ws) AS w FROM lw)"""
+ORACLES |= {
+    f"{name}_passages": sql.asked_whole(ORACLES[name]) for name in ("expand_terms", "search_corpus", "fallback_evidence")
+} | {
+    "declarations_words": f"""WITH {_LINE_WORDS} SELECT path, 'f' || w AS name, 'function' AS kind,
+        'function f' || w || '(n: string, k?: number): void' AS signature, true AS exported, (n + i)::BIGINT AS line FROM wl""",
+    "declared_imports_words": f"""WITH {_LINE_WORDS} SELECT path, './' || i || '/' || array_to_string(ws, '-') || '.js' AS source,
+        'a' AS names, false AS type_only FROM lw""",
+    "declared_exports_words": f"""WITH {_LINE_WORDS} SELECT path, count(*) AS exports, min('f' || w) AS first, max('f' || w) AS last FROM wl GROUP BY 1""",
+    "java_members_words": f"""WITH {_LINE_WORDS} SELECT doc_id || '.java' AS path, 'm' || w AS name, 'method' AS kind,
+        'public String m' || w || '(int n, List<String> k) throws IOException' AS signature, true AS exported, (i + 1)::BIGINT AS line,
+        'D' || doc_id AS container FROM wl""",
+}

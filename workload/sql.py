@@ -144,3 +144,11 @@ OPLOG = """oplog AS (
 QUERIES = r"""queries AS (
   SELECT item_id::VARCHAR AS query_id,
          array_to_string(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' ')[1:3], ' ') AS query FROM benchmark)"""
+PASSAGES = """queries AS (SELECT item_id::VARCHAR AS query_id, text AS query FROM benchmark)"""
+
+
+def asked_whole(oracle: str) -> str:
+    """The SQL of a query that asks the first words of the passages, asked with whole passages."""
+    if oracle.count(QUERIES) != 1:
+        raise ValueError("no queries to replace")
+    return oracle.replace(QUERIES, PASSAGES)

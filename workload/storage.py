@@ -72,7 +72,9 @@ def write_artifacts(spark, sf_dir):
 def read_corpus(spark, sf_dir):
     """The given tables themselves as a folder of binary files."""
     t.table(spark, sf_dir, "region")
-    return src.read_corpus(spark, sf_dir, "tables").select("project_id", "path", "size_bytes")
+    return src.read_corpus(spark, sf_dir, "tables").select(
+        "project_id", "path", "size_bytes", F.sha2("content", 256).alias("content_hash")
+    )
 
 
 def read_messages(spark, sf_dir):
@@ -168,8 +170,16 @@ def _map(spark, sf_dir):
 
 
 def query_map(spark, sf_dir):
+    return _mapped(spark, sf_dir, t.search_queries(spark, sf_dir))
+
+
+def query_map_passages(spark, sf_dir):
+    return _mapped(spark, sf_dir, t.passages(spark, sf_dir))
+
+
+def _mapped(spark, sf_dir, asked):
     state = ws.stage(_map(spark, sf_dir)[0])
-    found = ws.query_map(state, t.search_queries(spark, sf_dir), limit=5)
+    found = ws.query_map(state, asked, limit=5)
     return found["results"].join(found["state"], ["project_id", "query_id"]).select(
         "query_id", F.col("rank").cast("long").alias("rank"), "path", "score", "freshness", "workspace_revision"
     )
@@ -343,7 +353,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         read_metadata, metadata_quarantine, write_artifacts, read_corpus, read_messages, publish_generation, hydrate, prune,
-        rebuild, query_map, capsules, fit_capsule, archive_stream, archive_stream_dedup, overlay_stream, debounce_stream,
+        rebuild, query_map, query_map_passages, capsules, fit_capsule, archive_stream, archive_stream_dedup, overlay_stream, debounce_stream,
         telemetry_stream,
     )
 }
@@ -412,3 +422,4 @@ ORACLES = {
         count_if(event_type = 'error' AND value < 20)::BIGINT AS archive_success_count, count_if(event_type <> 'error')::BIGINT AS map_query_count
         FROM events GROUP BY 1""",
 }
+ORACLES["query_map_passages"] = sql.asked_whole(ORACLES["query_map"])

@@ -136,6 +136,13 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """benchmark passages as queries, whole and as they are."""
+    return table(spark, sf_dir, "benchmark").select(
+        F.lit("src").alias("project_id"), F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query")
+    )
+
+
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as change events: project = user, path from the event's key."""
     kind = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "unlink").otherwise("change")
