@@ -34,22 +34,36 @@ GENERATORS = {
     "key": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,64}[0-9])[A-Za-z0-9_+/=-]{16,}+",
     "secret": r"(?i)(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?[\x20\t]{0,3}[=:][\x20\t]{0,3}[\"']?[^\s\"']{6,}+",
 }
-_SECRET_WORDS = r"(?i)(?:passw|pwd|token|secret|key|credential|login)"
-_CONTACT_WORDS = r"(?i)(?:phone|tel|call|fax|mobile|mail|contact|card|visa|account|iban|ssn|address)"
-_BOUNDS = {"length": (9, 12, 16, 20, 32, 48), "digits": (0.2, 0.4, 0.6, 0.8, 0.95), "upper": (0.01, 0.3, 0.6), "marks": (0, 2, 5)}
-FEATURES = ("generator", "length", "digits", "upper", "marks", "plus", "context")
+# Words before a candidate: what labels are taken from, never features.
+_NAMED = {
+    "number": r"(?i)\b(?:phone|telephone|tel|call|fax|mobile|cell|whatsapp|contact|ssn|social\x20security|passport|iban|account|card|visa)\b",
+    "key": r"(?i)(?:passw(?:or)?d|pwd|token|secret|key|credentials?|login)[\"']?\s*(?:is\b|[=:])?\s*[\"']?$",
+}
+_OTHER = {
+    "number": r"(?i)\b(?:order|invoice|isbn|issn|page|version|ver|build|date|year|total|sum|id|ref|row|lines?|part|serial|no|nr)\b",
+    "key": r"(?i)\b(?:commit|sha-?[0-9]*|md5|digest|checksum|hash|etag|uuid|guid|rev|revision)\b",
+}
+_DATE = r"^(?:[0-9]{4}([-.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-.])[0-9]{1,2}\2[0-9]{4})(?![0-9.-])"
+_BOUNDS = {
+    "length": (9, 12, 16, 20, 32, 48), "digits": (0.2, 0.4, 0.6, 0.8, 0.95), "upper": (0.01, 0.3, 0.6), "marks": (0, 2, 5),
+    "size": (8, 9, 11, 12, 15), "tail": (2, 3, 4),
+}
+FEATURES = ("generator", "length", "digits", "upper", "marks", "shape", "size", "tail")
 
 _SPAN = "array<struct<start:int,end:int,match:string,before:string>>"
 
 
 @dataclass(frozen=True)
 class PiiParams:
-    """``precision``: what the calibration half must show above the threshold of a generator."""
+    """``precision``: what the calibration half must show above the threshold of a generator; ``doubt``: the weight of a
+    candidate without a label.
+    """
 
     trees: int = 25
     depth: int = 3
     rate: float = 0.3
     precision: float = 0.98
+    doubt: float = 0.1
 
 
 def _matches(text: Column, pattern: str, hinted: Column) -> Column:
@@ -111,30 +125,48 @@ def _share(match: Column, drop: str) -> Column:
 
 
 def _features(generator: str, span: Column) -> list[Column]:
-    """Format and context of a candidate in few bins: at most 3*7*6*4*4*2*3 cells."""
-    match, before = span["match"], span["before"]
-    context = F.when(before.rlike(_SECRET_WORDS), 2).when(before.rlike(_CONTACT_WORDS), 1).otherwise(0)
+    """Format of a candidate in few bins, at most some 23,000 cells.
+
+    A number is seen without its country code, so phones with and without one look alike.  No check, no plus and no word
+    of the context is a feature: these give the labels.
+    """
+    match, zero = span["match"], F.lit(0)
+    shape = size = tail = zero
+    if generator == "number":
+        match = F.regexp_replace(match, r"^\+(?:[0-9]{1,3}(?=[^0-9])[\x20.-]?)?", "")
+        shape = F.when(match.contains("("), 1).when(match.rlike(r"^[0-9-]*-[0-9-]*$"), 2).when(match.rlike(r"^[0-9.]*\.[0-9.]*$"), 3)
+        shape = shape.when(match.rlike("^[0-9]*$"), 0).otherwise(4)
+        size = _binned(F.length(_digits(match)), _BOUNDS["size"])
+        tail = _binned(F.length(F.regexp_extract(match, "[0-9]+$", 0)), _BOUNDS["tail"])
+    if generator == "key":
+        shape = F.when(match.startswith("eyJ"), 1).when(match.rlike("^[A-Za-z]{2,6}[_-]"), 2).otherwise(0)
     return [
         F.lit(list(GENERATORS).index(generator)),
         _binned(F.length(match), _BOUNDS["length"]),
         _binned(_share(match, "[0-9]"), _BOUNDS["digits"]),
         _binned(_share(match, "[A-Z]"), _BOUNDS["upper"]),
         _binned(F.length(F.regexp_replace(match, "[A-Za-z0-9]", "")), _BOUNDS["marks"]),
-        match.startswith("+").cast("int"),
-        context,
+        shape,
+        size,
+        tail,
     ]
 
 
-def _sure(generator: str, span: Column) -> Column:
-    """The label learned from: candidates that a check proves.  The checks themselves are no features."""
+def _label(generator: str, span: Column) -> Column:
+    """The label learned from: 1 where a check or the words before say so, 0 where they speak against it, else null."""
     match, digits = span["match"], _digits(span["match"])
+    if generator == "secret":
+        return (match.rlike(r"[=:].*[0-9].*[0-9]") & (F.length(match) >= 16)).cast("int")
+    named, other = span["before"].rlike(_NAMED[generator]), span["before"].rlike(_OTHER[generator])
     if generator == "number":
-        card = F.length(digits).between(13, 19) & F.call_function("luhn_check", digits) & ~match.contains("(")
-        return card | (match.startswith("+") & F.length(digits).between(9, 15))
-    if generator == "key":
-        hexes = match.rlike("^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$") & span["before"].rlike(_SECRET_WORDS)
-        return match.rlike("^AKIA[0-9A-Z]{16}$") | hexes
-    return match.rlike(r"[=:].*[0-9].*[0-9]") & (F.length(match) >= 16)
+        long = F.length(digits).between(13, 19)
+        card = long & F.call_function("luhn_check", digits) & ~match.contains("(")
+        phone = match.startswith("+") & F.length(digits).between(9, 15)
+        against = match.rlike(_DATE) | match.rlike(r"^[0-9]+(?:\.[0-9]+){3}$")
+        plain = long | match.rlike("^[0-9]*$") | other
+        return F.when(against, 0).when(card | phone, 1).when(named & other, None).when(named, 1).when(plain, 0)
+    against = match.rlike("^[0-9]*$") | match.rlike("/.*/") | (other & ~named)
+    return F.when(match.rlike("^AKIA[0-9A-Z]{16}$"), 1).when(against, 0).when(named, 1)
 
 
 def _generate(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
@@ -152,26 +184,30 @@ def train(docs: DataFrame, p: PiiParams = PiiParams()) -> dict | None:
 
     Candidates are counted by feature cell, so what reaches the driver is bounded by the number of bins.  Even halves
     of the documents (by a hash of the text) fit the trees, odd ones set for each generator the lowest threshold at which
-    the share of sure candidates above it is at least ``precision``.  None when there is no candidate.
+    the share of label 1 among the labelled above it is at least ``precision``.  Candidates without a label count in the fit as
+    ``doubt`` of a negative each, and a generator that has such ones never accepts below even odds: a format without labels
+    stays out.  None when there is no candidate.
     """
     found = _generate(docs.select(F.col("text").cast("string").alias("_text")), GENERATORS)
 
     def cell(g: str):
         return lambda s: F.struct(
-            *[f.cast("int").alias(n) for f, n in zip(_features(g, s), FEATURES, strict=True)], _sure(g, s).cast("int").alias("sure")
+            *[f.cast("int").alias(n) for f, n in zip(_features(g, s), FEATURES, strict=True)], _label(g, s).alias("label")
         )
 
     cells = [F.transform(F.col(f"_{g}"), cell(g)) for g in GENERATORS]
     half = F.crc32(F.coalesce(F.col("_text"), F.lit(""))) % 2
     flat = found.select(half.alias("half"), F.explode(F.concat(*cells)).alias("c")).select("half", "c.*")
-    rows = flat.groupBy("half", *FEATURES).agg(F.count("*").alias("n"), F.sum("sure").alias("sure")).collect()
+    rows = flat.groupBy("half", *FEATURES).agg(
+        F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("sure"), F.count_if(F.col("label").isNull()).alias("open")
+    ).collect()
     if not rows:
         return None
     rows.sort()
     x = np.array([[r[f] for f in FEATURES] for r in rows])
-    half, n, sure = (np.array([r[c] for r in rows], dtype=float) for c in ("half", "n", "sure"))
+    half, n, sure, unknown = (np.array([r[c] for r in rows], dtype=float) for c in ("half", "n", "sure", "open"))
     fitted = half == 0 if (half == 0).any() else half == 1
-    base, trees = boost(x[fitted], n[fitted], sure[fitted], p.trees, p.depth, p.rate)
+    base, trees = boost(x[fitted], (n + p.doubt * unknown)[fitted], sure[fitted], p.trees, p.depth, p.rate)
     score = base + sum(tree_values(t, x) for t in trees)
     thresholds = []
     for g in range(len(GENERATORS)):
@@ -179,8 +215,10 @@ def train(docs: DataFrame, p: PiiParams = PiiParams()) -> dict | None:
         best = None
         for t in np.unique(score[mine]):
             above = mine & (score >= t)
-            if sure[above].sum() >= p.precision * n[above].sum():
+            if n[above].sum() and sure[above].sum() >= p.precision * n[above].sum():
                 best = float(t) - 1e-9
+                if unknown[x[:, 0] == g].any():
+                    best = max(best, 0.0)
                 break
         thresholds.append(best)
     return {"base": base, "trees": trees, "thresholds": thresholds}

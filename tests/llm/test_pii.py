@@ -142,3 +142,37 @@ def test_query_digest(spark, tmp_path):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert (r.spans + ",").startswith(joined)
         assert r.n_ip == sum(k == "ip" for k, _, _ in base)
+
+
+def test_trees_find_what_no_check_proves(spark):
+    """Phones without +, ssn-like numbers and other key shapes: named in some texts, bare in others."""
+    key = lambda i: "ghp_" + hashlib.sha512(b"%d" % i).hexdigest().upper()[:18] + hashlib.sha512(b"x%d" % i).hexdigest()[:18]
+    shapes = [
+        ("phone", lambda i: f"({200 + i}) 555-0{100 + i}", "number"),
+        ("call", lambda i: f"{200 + i}-555-0{100 + i}", "number"),
+        ("ssn", lambda i: f"{100 + i}-{10 + i % 80}-{1000 + i}", "number"),
+        ("secret key:", key, "key"),
+    ]
+    texts, wanted = [], {}
+    for word, make, kind in shapes:
+        for i in range(80):
+            texts.append(f"some words {word} {make(i)} and more {i % 7}")
+        for i in range(80, 110):
+            wanted[len(texts)] = (kind, make(i))
+            texts.append(f"nothing that tells of it, {make(i)} and more")
+    proven = [f"w {i} then +1 ({300 + i}) 555-0{100 + i} end" for i in range(60)]
+    other = [x for i in range(80) for x in (
+        f"on 2024-01-{10 + i % 20} it rained",
+        f"order {1000 + i} {20 + i % 70} {30 + i % 60} was sent",
+        f"a commit {hashlib.sha1(b'%d' % i).hexdigest()} landed",
+        f"the run {10_000_000 + i * 7919} ended",
+    )]
+    docs = frame(spark, texts + proven + other)
+    model = pii.train(docs)
+    for r in pii.find(docs, model, "spans").collect():
+        if r.doc_id in wanted:
+            kind, value = wanted[r.doc_id]
+            at = r.text.index(value)
+            assert (kind, at, at + len(value)) in [tuple(s) for s in r.spans], r.text
+        elif r.doc_id >= len(texts) + len(proven):
+            assert not r.spans, (r.text, r.spans)
