@@ -18,17 +18,16 @@ from obsframe.session import staged
 
 @dataclass(frozen=True)
 class TopKParams:
-    """Components become floor(scale * x), held within +-limit so that every score fits 64 bits."""
+    """Components become floor(scale * x)."""
 
     k: int = 5
     scale: int = 256
-    limit: int = 1 << 26
     block_rows: int = 32_768
     chunk_queries: int = 64
 
 
 def quantised(v: Column, p: TopKParams) -> Column:
-    return F.transform(v, lambda x: F.greatest(F.least(F.floor(x.cast("double") * p.scale), F.lit(p.limit)), F.lit(-p.limit)).cast("long"))
+    return F.transform(v, lambda x: F.floor(x.cast("double") * p.scale).cast("long"))
 
 
 def _rows(batch: pa.RecordBatch, dim: int) -> np.ndarray:
@@ -119,6 +118,7 @@ def top_inner_products(vectors: DataFrame, is_query: Column, p: TopKParams = Top
     for each bit of each attribute above its smallest value; every chunk of queries visits every block, which sends its k
     best.  Work is rows x queries / 64 words and bounded in memory by one block and one chunk.  Shorter vectors count as
     padded with zeros.  Null ids and unusable vectors take no part; zero vectors do; repeated rows are each a row.
+    Components for which a score could leave 64 bits are refused.
     """
     clean = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"), allow_zero=True)).select(
         F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), p).alias("v"), is_query.alias("asks")
@@ -127,6 +127,9 @@ def top_inner_products(vectors: DataFrame, is_query: Column, p: TopKParams = Top
     ranges = clean.select(F.posexplode("v").alias("j", "x")).groupBy("j").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).orderBy("j").collect()
     total = max((r.n for r in ranges), default=0)
     low = np.array([min(r.low, 0) for r in ranges], dtype=np.int64)
+    # A component beyond 64 bits shows as the largest number of them.
+    if sum(max(abs(r.low), abs(r.high)) ** 2 for r in ranges) >= 1 << 63:
+        raise ValueError("components are so large that an inner product can leave 64 bits")
     widths = np.array([max(1, int(max(r.high, 0) - min(r.low, 0)).bit_length()) for r in ranges], dtype=np.int64)
     blocks = max(1, -(-total // p.block_rows))
     index = staged(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from obsframe.llm import ann, bitslice, topk
@@ -129,3 +130,13 @@ def test_bitmap_sums_equal_products():
         sums, constant = bitslice.inner_products(index, widths, low, query)
         got = [s + constant for s in bitslice.values_at(sums, np.arange(333))]
         assert got == (v @ query).tolist()
+
+
+def test_large_components_are_exact_and_too_large_ones_refused(spark):
+    x = np.array([[400_000.5, 1.0], [300_000.25, 2.0], [-900_000.0, 0.5], [0.0, 3.0]])
+    q = np.floor(256 * x.astype(np.float32).astype(float)).astype(np.int64)
+    ids = np.array([50, 1, 2, 3])
+    check_top(spark, rows_of(x, ids), q.astype(object), ids, topk.TopKParams())
+    df = spark.createDataFrame(rows_of(np.array([[1e30, 1.0], [2.0, 1.0]])), SCHEMA)
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_inner_products(df, F.col("vec_id") == 0)
