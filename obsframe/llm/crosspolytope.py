@@ -56,9 +56,13 @@ def codes(unit: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 
 def probes(unit: np.ndarray, s: np.ndarray, count: int) -> np.ndarray:
-    """(rows, tables, count) buckets to look into, the most likely first: signed axes by how far they lie behind the nearest."""
+    """(rows, tables, count) buckets to look into, the most likely first: signed axes by how far they lie behind the nearest.
+
+    Fewer than ``count`` where there are no more buckets.
+    """
     width, k = s.shape[-1], s.shape[1]
     each = min(2 * width, count if k == 1 else max(2, int(np.ceil(np.sqrt(count))) * 2))
+    count = min(count, each**k)
     out = np.empty((len(unit), len(s), count), dtype=np.int64)
     combos = np.array(list(product(range(each), repeat=k)))
     combos = combos[np.argsort(combos.sum(axis=1), kind="stable")][: 8 * count]

@@ -140,3 +140,13 @@ def test_large_components_are_exact_and_too_large_ones_refused(spark):
     df = spark.createDataFrame(rows_of(np.array([[1e30, 1.0], [2.0, 1.0]])), SCHEMA)
     with pytest.raises(ValueError, match="64 bits"):
         topk.top_inner_products(df, F.col("vec_id") == 0)
+
+
+@pytest.mark.parametrize("dim", [1, 2])
+def test_small_dimensions_are_searched(spark, dim):
+    x = clustered(60, dim, 4)
+    df = spark.createDataFrame(rows_of(x) + rows_of(clustered(60, 8, 4), range(100, 160)), SCHEMA)
+    got = {r.query_id for r in ann.nearest(df, F.col("vec_id").isin(0, 100)).collect()}
+    assert got == {0, 100}
+    found = cp.probes(x.astype(float), cp.signs(1, 3, 1, cp.padded(dim)), 8)
+    assert found.shape[2] == 4 and all(len(set(row)) == 4 for row in found.reshape(-1, 4))
