@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from obsframe.session import staged
+
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _DIGIT = b"0123456789"
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -24,13 +26,14 @@ OWN = 12
 
 @dataclass(frozen=True)
 class QualityParams:
-    """``max_docs`` bounds the labelled documents that are learned from, ``max_lines`` the lines taken from each of them.
+    """``max_docs`` bounds the labelled documents that are learned from, ``max_lines`` the lines of all of them:
+    documents are taken whole or left out.
 
     Both bound the fit alone; scores read every line of every text.
     """
 
     max_docs: int = 3000
-    max_lines: int = 200
+    max_lines: int = 600_000
     rounds: int = 150
     rate: float = 0.1
     penalty: float = 1e-3
@@ -164,13 +167,21 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3 == 1
 
 
-def _training_batches(p: QualityParams):
+def _fitting(lines: list[tuple[int, int]], most: int) -> tuple[list[int], list[int]]:
+    """Ids of (id, lines) that together keep within ``most`` lines, and those left out; one that still fits is taken."""
+    taken, left = [], []
+    for i, n in lines:
+        (taken if n <= most else left).append(i)
+        most -= n if n <= most else 0
+    return taken, left
+
+
+def _training_batches():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             quality, n, x, w = [], [], [], []
             for text, label in zip(batch.column("text"), batch.column("quality"), strict=True):
-                lines = (text.as_py() or b"").split(b"\n")[: p.max_lines]
-                features, weights = document_features(b"\n".join(lines))
+                features, weights = document_features(text.as_py() or b"")
                 quality.append(label.as_py())
                 n.append(len(weights))
                 x.append(features.tobytes())
@@ -194,8 +205,13 @@ def train(docs: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()
     picked = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     # At most max_docs short rows: a proven bound for the broadcast and, after it, for what the driver gets.
-    sample = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")
-    rows = sample.select("text", "quality").mapInArrow(_training_batches(p), "quality int, n long, x binary, w binary").collect()
+    sample = staged(texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]))
+    count = F.coalesce(F.length(F.regexp_replace(F.col("text").cast("string"), "[^\n]", "")), F.lit(0)) + 1
+    counted = sample.select("doc_id", count.alias("n"), F.xxhash64("doc_id").alias("h")).collect()
+    _, left = _fitting([(r.doc_id, r.n) for r in sorted(counted, key=lambda r: (r.h, r.doc_id))], p.max_lines)
+    if left:
+        sample = sample.filter(~F.col("doc_id").isin(left))
+    rows = sample.orderBy("doc_id").select("text", "quality").mapInArrow(_training_batches(), "quality int, n long, x binary, w binary").collect()
     labels_of = np.array([r.quality for r in rows])
     if not len(rows) or labels_of.min() == labels_of.max():
         return None

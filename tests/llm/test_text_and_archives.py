@@ -86,6 +86,18 @@ def test_quality_without_labels(spark):
     assert quality.score(docs.limit(0), None).collect() == []
 
 
+def test_long_documents_are_learned_whole_or_left_out(spark):
+    head = "\n".join(f"The mill stood by river number {i} and was quiet." for i in range(250))
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+
+    def model(tail):
+        docs = spark.createDataFrame([(i, head + tail * (i % 2)) for i in range(12)], "doc_id long, text string")
+        return quality.train(docs, labels, quality.QualityParams(rounds=5))
+
+    assert not np.allclose(model("")["w"], model(("\n" + BAD) * 60)["w"])  # the texts differ after line 200 alone
+    assert quality._fitting([(1, 5), (2, 9), (3, 4)], 10) == ([1, 3], [2])
+
+
 def test_held_out_rows_are_not_learned_from(spark):
     import zlib
 
