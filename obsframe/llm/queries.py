@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsframe.llm import ann, lm, mixing, neardup, packing, pii, quality, sharding, topk, warc
+from obsframe.llm import ann, lm, mixing, neardup, packing, phrases, pii, quality, sharding, topk, warc
 from obsframe.session import configure, scratch
 
 
@@ -101,6 +101,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.placed(mixing.mix(docs))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language."""
+    return phrases.collocations(_read(spark, sf_dir, "documents").select("text", "lang"))
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -218,6 +223,28 @@ SELECT doc_id, source, copy::INTEGER AS copy,
 FROM copies
 """
 
+_OP11_SQL = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p FROM w, range(1, 5) s(k)),
+f AS (SELECT lang, p, count(*) AS f FROM g GROUP BY lang, p HAVING count(*) >= 30),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.p, c.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f // (x.f + y.f))::BIGINT AS score
+  FROM f c, range(1, 4) s(k), f x, f y
+  WHERE k < len(c.p) AND x.lang = c.lang AND x.p = c.p[1:k] AND y.lang = c.lang AND y.p = c.p[k + 1:len(c.p)]),
+worst AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS i FROM cuts),
+parts AS (
+  SELECT lang, f, unnest(list_transform(range(1, len(p) - k + 2), lambda i: p[i:i + k - 1])) AS p FROM f, range(2, 4) s(k) WHERE k < len(p)),
+covered AS (SELECT DISTINCT f.lang, f.p FROM f JOIN parts ON parts.lang = f.lang AND parts.p = f.p WHERE 100::HUGEINT * parts.f >= 80::HUGEINT * f.f),
+left_over AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM worst WHERE i = 1 AND (lang, p) NOT IN (SELECT (lang, p) FROM covered)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_ann": op2_ann,
@@ -229,6 +256,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_lm": op9_lm,
     "op10_mixing": op10_mixing,
+    "op11_phrases": op11_phrases,
 }
 ORACLES = {
     "op3_packing": _OP3_SQL,
@@ -237,4 +265,5 @@ ORACLES = {
     "op7_warc": _OP7_SQL,
     "op9_lm": _OP9_SQL,
     "op10_mixing": _OP10_SQL,
+    "op11_phrases": _OP11_SQL,
 }
