@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsframe.llm import ann, lm, mixing, neardup, packing, phrases, pii, quality, sharding, topk, warc
+from obsframe.llm import ann, lm, mixing, neardup, packing, phrases, pii, quality, repeats, sharding, topk, warc
 from obsframe.session import configure, scratch
 
 
@@ -106,6 +106,19 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_read(spark, sf_dir, "documents").select("text", "lang"))
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 400-byte strings that repeat."""
+    docs = repeats.without_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + (r["end"] - r["start"]))
+    return docs.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -257,6 +270,7 @@ QUERIES = {
     "op9_lm": op9_lm,
     "op10_mixing": op10_mixing,
     "op11_phrases": op11_phrases,
+    "op13_repeats": op13_repeats,
 }
 ORACLES = {
     "op3_packing": _OP3_SQL,
