@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsframe.llm import ann, lm, mixing, neardup, packing, phrases, pii, quality, repeats, sharding, topk, warc
+from obsframe.llm import ann, lm, mixing, neardup, packing, phrases, pii, quality, repair, repeats, sharding, topk, warc
 from obsframe.session import configure, scratch
 
 
@@ -106,6 +106,22 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_read(spark, sf_dir, "documents").select("text", "lang"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least audit that repairs every damaged conversation."""
+    whole = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = repair.damage(whole)
+    edits, status = repair.plan(rows)
+    told = repair.digests(repair.repaired(rows, edits))
+    every = whole.groupBy("conv_id").count().select("conv_id", repair.conversation_key(F.col("conv_id")).alias("c"))
+    zero = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
+    return every.join(status, "c", "left").join(told, "c", "left").select(
+        "conv_id",
+        *[zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"),
+    )
+
+
 def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 400-byte strings that repeat."""
     docs = repeats.without_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -270,6 +286,7 @@ QUERIES = {
     "op9_lm": op9_lm,
     "op10_mixing": op10_mixing,
     "op11_phrases": op11_phrases,
+    "op12_repair": op12_repair,
     "op13_repeats": op13_repeats,
 }
 ORACLES = {
