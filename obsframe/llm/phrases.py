@@ -28,7 +28,7 @@ _SLICE = 1 << 20
 _LOCAL_BITS, _COUNTER_BITS = 22, 18
 _ROWS = 50_000
 _BLOCKS = "block long, lang string, n_words long, tail int, words binary, seq binary"
-_LEVEL = "block long, tail int, seq binary, pre binary, suf binary, n binary"
+_LEVEL = "block long, tail int, seq binary, phrases binary"
 
 
 @dataclass(frozen=True)
@@ -103,18 +103,16 @@ def _block_batches(p: PhraseParams):
         first, made = TaskContext.get().partitionId() << _COUNTER_BITS, 0
         open_blocks: dict[str, _Block] = {}
 
-        def flush(tail: int):
+        def closed(lang: str, tail: int) -> pa.RecordBatch:
             nonlocal made
-            for lang in sorted(open_blocks):
-                block = open_blocks[lang]
-                if block.size <= tail:
-                    continue
-                if made >> _COUNTER_BITS:
-                    raise ValueError("too many blocks in a partition: raise block_words")
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(block.row(lang, first + made, tail), kinds, strict=True)], names=names)
-                made += 1
-                if tail:
-                    open_blocks[lang] = block.rest(tail)
+            if made >> _COUNTER_BITS:
+                raise ValueError("too many blocks in a partition: raise block_words")
+            block, made = open_blocks[lang], made + 1
+            if tail:
+                open_blocks[lang] = block.rest(tail)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x], t) for x, t in zip(block.row(lang, first + made - 1, tail), kinds, strict=True)], names=names
+            )
 
         for batch in batches:
             for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
@@ -123,10 +121,16 @@ def _block_batches(p: PhraseParams):
                     continue
                 for tokens in _tokens(data):
                     open_blocks.setdefault(lang, _Block()).add(tokens)
-                    if sum(b.size for b in open_blocks.values()) >= p.block_words:
-                        yield from flush(p.longest - 1)
+                    if open_blocks[lang].size >= p.block_words:
+                        yield closed(lang, p.longest - 1)
+                    elif sum(b.size for b in open_blocks.values()) >= 2 * p.block_words:
+                        # Many languages at once: the largest makes room; it holds more than the words it keeps.
+                        largest = max(open_blocks, key=lambda x: open_blocks[x].size)
+                        if open_blocks[largest].size >= p.longest:
+                            yield closed(largest, p.longest - 1)
                 open_blocks[lang].add([b"\n"])
-        yield from flush(0)
+        for lang in sorted(open_blocks):
+            yield closed(lang, 0)
 
     return run
 
@@ -154,36 +158,48 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def _joined(seq: np.ndarray, phrases: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The merge-join with the next position: where two phrases stand side by side, the different pairs, which is where."""
+    at = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
+    pairs, which = np.unique(seq[at].astype(np.int64) * phrases + seq[at + 1], return_inverse=True)
+    return at, pairs, which
+
+
 def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The phrases of each block that are one word longer, once, with how often they stand there."""
     for batch in batches:
         for row in batch.to_pylist():
-            pre, suf, n = (_unpack(row[k], np.int64) for k in ("pre", "suf", "n"))
-            for i in range(0, len(pre), _ROWS):
-                part = slice(i, min(i + _ROWS, len(pre)))
-                code = (row["block"] << _LOCAL_BITS) + np.arange(part.start, part.stop)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (pre[part], suf[part], code, n[part])], names=["pre", "suf", "code", "n"])
-
-
-def _extend(blocks: pa.Table, frequent: pa.Table) -> pa.Table:
-    """Semi-join a block with its frequent phrases and merge-join neighbours into phrases one word longer."""
-    schema = pa.schema([("block", pa.int64()), ("tail", pa.int32()), *[(k, pa.binary()) for k in ("seq", "pre", "suf", "n")]])
-    if not blocks.num_rows or not frequent.num_rows:
-        return schema.empty_table()
-    row = blocks.to_pylist()[0]
-    old = _unpack(row["seq"], np.int32)
-    local, phrase = (frequent.column(k).to_numpy() for k in ("local", "phrase"))
-    number = np.full(max(int(old.max(initial=-1)), int(local.max())) + 2, -1, np.int64)  # the last entry answers -1
-    number[local] = np.arange(len(local))
-    seq = number[old]
-    joined = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
-    pairs, which = np.unique(seq[joined] * len(phrase) + seq[joined + 1], return_inverse=True)
-    if not len(pairs):
-        return schema.empty_table()
-    longer = np.full(len(old), -1, np.int32)
-    longer[joined] = which
-    n = np.bincount(which[joined < len(old) - row["tail"]], minlength=len(pairs))
-    out = [row["block"], row["tail"], _pack(longer), _pack(phrase[pairs // len(phrase)]), _pack(phrase[pairs % len(phrase)]), _pack(n.astype(np.int64))]
-    return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(out, schema.types, strict=True)], schema=schema)
+            seq, phrases = _unpack(row["seq"], np.int32), _unpack(row["phrases"], np.int64)
+            at, pairs, which = _joined(seq, len(phrases))
+            n = np.bincount(which[at < len(seq) - row["tail"]], minlength=len(pairs))
+            for i in range(0, len(pairs), _ROWS):
+                part = pairs[i : i + _ROWS]
+                code = (row["block"] << _LOCAL_BITS) + np.arange(i, i + len(part))
+                columns = phrases[part // len(phrases)], phrases[part % len(phrases)], code, n[i : i + len(part)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["pre", "suf", "code", "n"])
+
+
+def _held(first: bool):
+    """Semi-join the occurrences of a block with its frequent phrases."""
+    schema = pa.schema([("block", pa.int64()), ("tail", pa.int32()), ("seq", pa.binary()), ("phrases", pa.binary())])
+
+    def run(blocks: pa.Table, frequent: pa.Table) -> pa.Table:
+        if not blocks.num_rows or not frequent.num_rows:
+            return schema.empty_table()
+        row = blocks.to_pylist()[0]
+        seq = _unpack(row["seq"], np.int32)
+        if not first:
+            at, _, which = _joined(seq, len(_unpack(row["phrases"], np.int64)))
+            seq = np.full(len(seq), -1, np.int32)
+            seq[at] = which
+        frequent = frequent.sort_by("local")
+        local = frequent.column("local").to_numpy()
+        number = np.full(max(int(seq.max(initial=-1)), int(local[-1])) + 2, -1, np.int32)  # the last entry answers -1
+        number[local] = np.arange(len(local))
+        out = [row["block"], row["tail"], _pack(number[seq]), _pack(frequent.column("phrase").to_numpy())]
+        return pa.Table.from_arrays([pa.array([x], t) for x, t in zip(out, schema.types, strict=True)], schema=schema)
+
+    return run
 
 
 def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
@@ -218,8 +234,11 @@ def count_phrases(docs: DataFrame, p: PhraseParams = PhraseParams()) -> tuple[li
         if k == p.longest:
             break
         local = found.select(F.shiftright("code", _LOCAL_BITS).alias("block"), (F.col("code") % (1 << _LOCAL_BITS)).alias("local"), "phrase")
-        held = blocks.select("block", "tail", "seq").groupBy("block").cogroup(local.groupBy("block"))
-        held.applyInArrow(_extend, _LEVEL).write.parquet(f"{folder}/level-{k}")
+        held = blocks.drop("lang", "n_words", "words").groupBy("block").cogroup(local.groupBy("block"))
+        held.applyInArrow(_held(k == 1), _LEVEL).write.parquet(f"{folder}/level-{k}")
+        # Occurrences of phrases of k words replace those of shorter ones.
+        discard(spark, f"{folder}/level-{k - 1}")
+        discard(spark, path)
         blocks = spark.read.schema(_LEVEL).parquet(f"{folder}/level-{k}")
         rows, keys = blocks.mapInArrow(_pair_rows, "pre long, suf long, code long, n long"), ["pre", "suf"]
     discard(spark, folder)
