@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.receipts import receipt
+from ..operators import retrieve, signatures
 from ..operators.archive import archive_projection, eligible, new_artifacts, sanitize, upsert_latest
 
 
@@ -25,6 +26,16 @@ def archive(
     return metadata, new_artifacts(sanitized, existing_artifacts)
 
 
+def write_signatures(artifacts: DataFrame, path: str) -> DataFrame:
+    """Sign the texts of new artifacts, store the signatures and read them back; a search tests them before any text."""
+    signatures.sign(retrieve.searchable(artifacts)).write.mode("overwrite").parquet(path)
+    return read_signatures(artifacts.sparkSession, path)
+
+
+def read_signatures(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(signatures.SIGNATURES).parquet(path)
+
+
 def virtualize(observations: DataFrame, threshold: int = 16 * 1024, receipt_max: int = 4096) -> DataFrame:
     """Add ``output``: a receipt where the original text is over ``threshold`` bytes, else the text itself.
 

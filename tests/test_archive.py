@@ -74,13 +74,14 @@ def eight(spark):
     return plans.archive(obs, now())
 
 
-def test_search(spark, eight):
+def test_search(spark, eight, tmp_path):
     metadata, artifacts = eight
+    signed = plans.write_signatures(artifacts, str(tmp_path / "s"))
     asked = spark.createDataFrame(
         [("p", "q1", " NEEDLE ", "read", 3), ("p", "q2", "line", None, None), ("p", "q3", "absent", None, None), ("p", "q4", " ", None, None)],
         "project_id string, query_id string, query string, tool_name string, limit int",
     )
-    rows = re.search_observations(asked, metadata, artifacts).collect()
+    rows = re.search_observations(asked, metadata, artifacts, signed).collect()
     by = {}
     for r in sorted(rows, key=lambda r: r.rank):
         by.setdefault(r.query_id, []).append(r)
@@ -92,11 +93,12 @@ def test_search(spark, eight):
     assert [r.reason for r in rejects.collect()] == ["query is empty"]
 
 
-def test_search_clips_lines_before_matching(spark):
+def test_search_clips_lines_before_matching(spark, tmp_path):
     obs = observations(spark, [("s", "a", "read", "x" * 1024 + "needle\nend", False, 1), ("s", "b", "read", "x" * 1000 + "needle", False, 2)])
     metadata, artifacts = plans.archive(obs, now())
     asked = spark.createDataFrame([("p", "q", "needle", None, None)], "project_id string, query_id string, query string, tool_name string, limit int")
-    assert [r.rank for r in re.search_observations(asked, metadata, artifacts).collect()] == [1]
+    signed = plans.write_signatures(artifacts, str(tmp_path / "s"))
+    assert [r.rank for r in re.search_observations(asked, metadata, artifacts, signed).collect()] == [1]
 
 
 def test_get(spark, eight):

@@ -9,7 +9,7 @@ from obsframe.functions import text as fx
 from obsframe.operators import archive as ar
 from obsframe.operators import retrieve as re
 from obsframe.plans import archive as plans
-from obsframe.session import staged
+from obsframe.session import scratch, staged
 from obsframe.sources.tables import artifact_inventory
 
 from . import sql, tables as t
@@ -222,7 +222,7 @@ def _search_input(spark, sf_dir):
             F.lit(None).cast("int").alias("limit"),
         )
     )
-    return asked, metadata, found
+    return asked, metadata, found, plans.write_signatures(found, scratch(spark))
 
 
 def _passage_input(spark, sf_dir):
@@ -239,7 +239,7 @@ def _passage_input(spark, sf_dir):
             F.lit(limit).cast("int").alias("limit"),
         )
 
-    return asked("a", None, 7).unionByName(asked("b", "en", None)), metadata, found
+    return asked("a", None, 7).unionByName(asked("b", "en", None)), metadata, found, plans.write_signatures(found, scratch(spark))
 
 
 def search_observations(spark, sf_dir):
