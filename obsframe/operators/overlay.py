@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import has_excluded_segment
 from ..functions.text import excerpt, query_terms
-from .ordered import Running, position_chunks, running, top_k
+from .ordered import CHUNK, Running, row_chunks, running, top_k
 
 KEY = ["project_id", "path"]
 DELETED = "deleted"
@@ -231,12 +231,30 @@ def latest_per_path(events: DataFrame) -> DataFrame:
 
 def drain_batches(events: DataFrame, size: int = 64) -> DataFrame:
     """Batch number of each queued event: ``size`` per pass in queue order."""
-    numbered = running(events, ["project_id"], ["seq"], {"_row": Running("sum", F.lit(1))}, position_chunks("seq"))
+    numbered = running(row_chunks(events, ["project_id"], F.col("seq")), ["project_id"], ["seq"], {"_row": Running("sum", F.lit(1))})
     return numbered.withColumn("batch", F.ceil(F.col("_row") / size).cast("long")).drop("_row")
 
 
 def debounce(changes: DataFrame, gap: str = "300 milliseconds") -> DataFrame:
-    """Quiet-gap batches per project: start, end and number of changes."""
+    """Quiet-gap batches per project: start, end and number of changes; rows without a time are left out.
+
+    Times are cut into chunks, so no task holds a project.  A batch that is open at the edge of a chunk goes on in the next
+    one: the latest time before a row and the number of batches before it are carried over the edges.
+    """
+    silence = F.expr(f"INTERVAL {gap}")
+    points = changes.filter(F.col("ts").isNotNull()).groupBy("project_id", "ts").agg(F.count(F.lit(1)).alias("_n"))
+    chunked = row_chunks(points, ["project_id"], F.unix_micros(F.col("ts").cast("timestamp"))).withColumnRenamed(CHUNK, "_part")
+    part, key = F.col("_part"), ["project_id"]
+    seen = running(chunked, key, ["ts"], {"_last": Running("max", F.col("ts"), before=True)}, part)
+    opens = F.when(F.col("_last").isNull() | (F.col("ts") >= F.col("_last") + silence), 1).otherwise(0)
+    numbered = running(seen, key, ["ts"], {"_batch": Running("sum", opens)}, part)
+    return numbered.groupBy("project_id", "_batch").agg(
+        F.min("ts").alias("started"), (F.max("ts") + silence).alias("ended"), F.sum("_n").alias("changes")
+    ).drop("_batch")
+
+
+def open_sessions(changes: DataFrame, gap: str) -> DataFrame:
+    """The same as session windows, for streams: only batches that are not closed stay in the state."""
     return (
         changes.groupBy("project_id", F.session_window("ts", gap).alias("w"))
         .agg(F.count(F.lit(1)).alias("changes"))
@@ -248,10 +266,9 @@ def suppress_noops(ledger: DataFrame, fields: list[str]) -> DataFrame:
     """Drop a generation equal to the one before it in every durable field."""
     hashed = ledger.withColumn("_hash", F.sha2(F.to_json(F.struct(*fields)), 256))
     marked = running(
-        hashed,
+        row_chunks(hashed, ["project_id"], F.col("generation")),
         ["project_id"],
         ["generation"],
         {"_previous": Running("last", F.col("_hash"), before=True)},
-        position_chunks("generation"),
     )
     return marked.filter(F.col("_previous").isNull() | (F.col("_previous") != F.col("_hash"))).drop("_hash", "_previous")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import Running, position_chunks, range_chunks, running
+from .ordered import Running, prefix_number, row_chunks, running
 
 
 def gc_candidates(metadata: DataFrame, inventory: DataFrame, referenced: DataFrame) -> DataFrame:
@@ -46,7 +46,8 @@ def evict(candidates: DataFrame, quota: int) -> DataFrame:
     sequential rule "delete while remaining > quota" is ``total - before > quota``.
     """
     totals = candidates.groupBy("project_id").agg(F.sum("size").alias("_total"))
-    chunked = range_chunks(candidates, ["project_id"], ["newest", "artifact_id"])
+    # Microseconds lie far apart, and many artifacts may share one: those are cut by their ids.
+    chunked = row_chunks(candidates, ["project_id"], F.unix_micros("newest"), prefix_number("artifact_id"))
     counted = running(
         chunked,
         ["project_id"],
@@ -87,11 +88,10 @@ def prune_generations(ledger: DataFrame, retention: int, quota: int) -> DataFram
         F.max(F.when(valid, F.col("generation"))).alias("active_generation"),
     )
     counted = running(
-        ledger,
+        row_chunks(ledger, ["project_id"], F.col("generation")),
         ["project_id"],
         ["generation"],
         {"_rank": Running("sum", F.lit(1)), "_before": Running("sum", F.col("bytes"), before=True)},
-        position_chunks("generation"),
     )
     surplus = (F.col("_rank") <= F.col("_n") - retention) | (F.col("_total") - F.col("_before") > quota)
     return (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import prefix_bytes
-from .ordered import Running, position_chunks, running, top_k
+from .ordered import Running, row_chunks, running, top_k
 
 FAILURES_KEPT = 20
 FAILURE_BYTES = 512
@@ -65,11 +65,10 @@ def hash_changes(oplog: DataFrame, by: str = "session_id") -> DataFrame:
     """Builds whose content hash differs from the build before; the first never counts."""
     builds = oplog.filter(_is("capsule_build")).select(by, "seq", "content_hash")
     marked = running(
-        builds,
+        row_chunks(builds, [by], F.col("seq")),
         [by],
         ["seq"],
         {"_previous": Running("last", F.col("content_hash"), before=True)},
-        position_chunks("seq"),
     )
     return marked.groupBy(by).agg(
         F.count_if(F.col("_previous") != F.col("content_hash")).alias("capsule_hash_change_count")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.overlay import debounce, latest_per_path
+from ..operators.overlay import latest_per_path, open_sessions
 from ..operators.telemetry import counters
 from ..schemas import CHANGES
 from ..sources.tables import read_or_empty
@@ -39,7 +39,7 @@ def read_overlay(spark: SparkSession, root: str) -> DataFrame:
 
 def debounce_stream(changes: DataFrame, gap: str = "300 milliseconds", delay: str = "1 minute") -> DataFrame:
     """Quiet-gap batches of a stream, emitted once the watermark has passed their end."""
-    return debounce(changes.withWatermark("ts", delay), gap)
+    return open_sessions(changes.withWatermark("ts", delay), gap)
 
 
 def telemetry_stream(oplog: DataFrame, by: str = "session_id") -> DataFrame:
