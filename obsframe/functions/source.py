@@ -6,6 +6,8 @@ strings and parentheses are masked by private-use characters, so braces can be c
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ MASK = "".join(chr(0xE000 + i) for i in range(len(STRUCTURAL)))
 ARROW = chr(0xE00A)  # a masked "=>"
 OPEN_BRACE, CLOSE_BRACE, SEMICOLON, NEWLINE, OPEN, CLOSE, COMMA, LESS, MORE, EQUALS = MASK
 
+# Where a slash starts a pattern literal: behind what cannot end an operand.
+_PATTERN_LITERAL = (
+    r"(?:(?<=(?:[(,=:\[!&|?;{}+*%~^-]|=>|\breturn|\btypeof|\bcase)\s{0,16})|(?<=\A\s{0,16}))"
+    r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*+"
+)
 _TOKENS = "|".join(
     (
         r"//[^\n]*",
@@ -32,11 +39,21 @@ _TOKENS = "|".join(
         r"[\s\S]",
     )
 )
-# Balanced groups, three levels deep.
-PARENS = (
-    f"{OPEN}(?:[^{OPEN}{CLOSE}]++|{OPEN}(?:[^{OPEN}{CLOSE}]++|{OPEN}[^{OPEN}{CLOSE}]*+{CLOSE})*+{CLOSE})*+{CLOSE}"
-)
-ANGLES = "<(?:[^<>]++|<(?:[^<>]++|<[^<>]*+>)*+>)*+>"
+# Balanced groups nest so deep; a source with deeper parentheses is degraded.
+MAX_GROUPS = 32
+
+
+def _balanced(opening: str, closing: str) -> str:
+    """Pattern of a group with groups of the same kind inside."""
+    plain = f"[^{opening}{closing}]"
+    out = f"{opening}{plain}*+{closing}"
+    for _ in range(MAX_GROUPS - 1):
+        out = f"{opening}(?:{plain}++|{out})*+{closing}"
+    return out
+
+
+PARENS = _balanced(OPEN, CLOSE)
+ANGLES = _balanced("<", ">")
 MASKED_ANGLES = ANGLES.replace("<", LESS).replace(">", MORE)
 
 
@@ -54,23 +71,26 @@ def restored(c: Column) -> Column:
 
 
 def masked_source(text: Column | str, script: bool) -> Column:
-    """Comments blanked (line ends kept), strings and up to three levels of parentheses masked."""
+    """Comments blanked (line ends kept); strings, pattern literals of scripts and parentheses masked.
+
+    Parentheses are masked from the inside out, in as many rounds as they are deep.
+    """
 
     def token(t: Column) -> Column:
         quoted = t.rlike(r"\A(?:\"|'|`)") & (F.length(t) > 1)
         return (
             F.when(F.startswith(t, F.lit("//")), F.lit(""))
             .when(F.startswith(t, F.lit("/*")), F.concat(F.lit(" "), F.regexp_replace(t, r"[^\n]", "")))
-            .when(quoted, _mask(t))
+            .when(quoted | (F.startswith(t, F.lit("/")) & (F.length(t) > 1)), _mask(t))
             .otherwise(t)
         )
 
     def parens(t: Column) -> Column:
         return F.when(F.startswith(t, F.lit("(")) & (F.length(t) > 1), _mask(t)).otherwise(t)
 
-    out = _retokenized(_col(text), _TOKENS, token)
-    for _ in range(3):
-        out = _retokenized(out, r"\([^()]*\)|[^()]+|[()]", parens)
+    out = _retokenized(_col(text), f"{_PATTERN_LITERAL}|{_TOKENS}" if script else _TOKENS, token)
+    rounds = F.sequence(F.lit(1), F.least(F.greatest(deepest(out, "()"), F.lit(1)), F.lit(MAX_NESTING)))
+    out = F.aggregate(rounds, out, lambda t, _: _retokenized(t, r"\([^()]*\)|[^()]+|[()]", parens))
     if script:
         lists = (
             r"(?<![\w$.])(?:import|export)\s*(?:type\s+)?(?:[\w$]+\s*,\s*)?\{[^{}]*\}|[^ie]+|[ie]"
@@ -92,25 +112,32 @@ def brace_balance(masked: Column) -> Column:
     )
 
 
-def max_nesting(text: Column | str) -> Column:
-    """Highest running brace depth, clamped at zero; the state of the fold is two numbers."""
+def deepest(text: Column, pair: str) -> Column:
+    """Highest running depth of a pair of signs, clamped at zero; the state of the fold is two numbers."""
     start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("m"))
+    # Signs alone: the fold has a step for each.
+    signs = F.regexp_replace(text, f"[^{re.escape(pair)}]+", "")
     return F.aggregate(
-        F.regexp_extract_all(_col(text), F.lit("[{}]"), F.lit(0)),
+        F.filter(F.split(signs, ""), lambda x: x != ""),
         start,
         lambda a, b: F.when(
-            b == "{", F.struct((a["d"] + 1).alias("d"), F.greatest(a["m"], a["d"] + 1).alias("m"))
+            b == pair[0], F.struct((a["d"] + 1).alias("d"), F.greatest(a["m"], a["d"] + 1).alias("m"))
         ).otherwise(F.struct(F.greatest(a["d"] - 1, F.lit(0)).alias("d"), a["m"].alias("m"))),
         lambda a: a["m"],
     )
 
 
+def max_nesting(text: Column | str) -> Column:
+    """Highest running brace depth."""
+    return deepest(_col(text), "{}")
+
+
 def newlines(c: Column) -> Column:
     return F.length(c) - F.length(F.translate(c, "\n" + NEWLINE, ""))
 
 
 def split_top_level(c: Column, comma: str = ",") -> Column:
-    """Parts of a list at commas outside type arguments and parentheses (three levels deep)."""
+    """Parts of a list at commas outside type arguments and parentheses."""
     angles = MASKED_ANGLES if comma == COMMA else ANGLES
     low = LESS if comma == COMMA else "<"
     parts = F.regexp_extract_all(c, F.lit(f"(?:[^{comma}{low}{OPEN}]++|{angles}|{PARENS}|[{low}{OPEN}])++"), F.lit(0))

@@ -19,9 +19,9 @@ def reject_unsafe(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def degraded_reason(lang: Column, text: Column, size: Column) -> Column:
     """Why declarations of a source file cannot be trusted; null when they can."""
-    balanced = F.when(
-        lang == "java", src.brace_balance(src.masked_source(text, script=False)) == 0
-    ).otherwise(src.brace_balance(src.masked_source(text, script=True)) == 0)
+    masked = F.when(lang == "java", src.masked_source(text, script=False)).otherwise(src.masked_source(text, script=True))
+    balanced = src.brace_balance(masked) == 0
+    grouped = src.deepest(masked, src.OPEN + src.CLOSE) <= src.MAX_GROUPS
     many = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit(""))) > src.MAX_NESTING
     deep = F.when(many, src.max_nesting(text) > src.MAX_NESTING).otherwise(F.lit(False))
     java = lang == "java"
@@ -30,6 +30,7 @@ def degraded_reason(lang: Column, text: Column, size: Column) -> Column:
         .when(java & (size > src.MAX_JAVA_BYTES), "parse error: Java source exceeds 2 MiB")
         .when(java & deep, "parse error: Java brace nesting exceeds 512")
         .when(~balanced, "parse error: braces do not balance")
+        .when(~grouped, f"parse error: parentheses nest deeper than {src.MAX_GROUPS}")
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from obsframe.functions import source as src
 from obsframe.operators import corpus, extract
 from obsframe.operators.ordered import explode_lines
+from obsframe.plans import corpus as plans
 
 SCRIPTS = {
     # Every form of import; the text of a comment is not one.
@@ -218,3 +219,39 @@ def test_lists_and_spacing(spark):
     assert row.parts == ["Pair<Left, Right>", "int[]", "Tree<Leaf<A, B>>"]
     assert row.header == "static <T> Bag<T> of(T first, T second)"
     assert row.deep == 3
+
+
+DEEP_SOURCES = {
+    "calls.ts": "export function f(a = g(h(i(1)))): void {}\nexport function g(b = "
+    + "h(" * 20 + "1" + ")" * 20 + ", c: number): string { return c; }\nexport const after = 1;\n",
+    "patterns.ts": "export const re = /\\{/;\nexport function match(s: string): boolean { return /[/}(]\\/{2,}/g.test(s) || s.length / 2 > 1 / 3; }\n"
+    "export const half = (total: number) => total / 2; // } / {\nlet found = [/\"/, /'(/];\nexport class Last {}\n",
+    "Maps.java": "class Maps { Map<String,Map<String,Map<String,List<Integer>>>> m; A<B<C<D<E<F<G, H>>>>>, I> deep, other;\n"
+    "  <T extends A<B<C<D<E<T>>>>>> Map<T, A<B<C<D<E>>>>> turn(Map<T, A<B<C<D<E>>>>> from, int n) { return null; }\n"
+    "  @Note(a(b(c(d(e(1)))))) int noted; }\n",
+    "lost.ts": "export const one = " + "(" * 40 + "1" + ")" * 40 + ";\n",
+}
+
+
+def test_depth_and_pattern_literals(spark):
+    rows = plans.index_files(
+        spark.createDataFrame([("p", p, bytearray(t.encode())) for p, t in DEEP_SOURCES.items()], "project_id string, path string, content binary"), stage=True
+    )["files"].collect()
+    by = {r.path: r for r in rows}
+    names = {p: {(s.name, s.kind) for s in r.symbols} for p, r in by.items()}
+    assert names["calls.ts"] == {("f", "function"), ("g", "function"), ("after", "variable")}
+    assert {s.signature for s in by["calls.ts"].symbols} >= {"function f(a?): void", "function g(b?, c: number): string"}
+    assert by["patterns.ts"].degraded_reason is None
+    assert names["patterns.ts"] == {("re", "variable"), ("match", "function"), ("half", "variable"), ("found", "variable"), ("Last", "class")}
+    assert names["Maps.java"] == {
+        ("Maps", "class"), ("m", "field"), ("deep", "field"), ("other", "field"), ("turn", "method"), ("noted", "field")
+    }
+    turn = next(s for s in by["Maps.java"].symbols if s.name == "turn")
+    assert turn.signature == "<T extends A<B<C<D<E<T>>>>>> Map<T, A<B<C<D<E>>>>> turn(Map<T, A<B<C<D<E>>>>> from, int n)"
+    assert "nest deeper" in by["lost.ts"].degraded_reason and names["lost.ts"] == set()
+
+
+def test_type_lists_of_any_depth(spark):
+    deep = "A<" * 30 + "B, C" + ">" * 30
+    row = spark.range(1).select(src.split_type_list(F.lit(f"{deep}, D<E<F<G<H, I>>>>, J")).alias("parts")).first()
+    assert row.parts == [deep, "D<E<F<G<H, I>>>>", "J"]
