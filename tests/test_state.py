@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import json
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from obsframe.operators import overlay as ov
 from obsframe.operators import turns as tn
 from obsframe.params import Params
 from obsframe.plans import rebuild as rb
 from obsframe.plans import workspace as ws
-from obsframe.schemas import OBSERVATIONS
+from obsframe.schemas import CHANGES, OBSERVATIONS
 from obsframe.sources import generations as gen
 from obsframe.sources import tables as src
 from obsframe.streaming import archive as sa
@@ -267,3 +269,46 @@ def test_overlay_stream_late_events(spark, tmp_path):
             sc.overlay_batch(frames[i], batch_id, root)
         states.append(sorted((r.path, r.event, r.deleted) for r in sc.read_overlay(spark, root).collect()))
     assert states[0] == states[1] == [("a", "unlink", True), ("b", "add", False)]
+
+
+def test_a_bounded_drain_keeps_its_remainder(spark, tmp_path):
+    """Batches against a plain queue: order of arrival, newest event of a path, a batch that runs again, the final flush."""
+    rng, root, limit = random.Random(4), str(tmp_path / "d"), 3
+    start = datetime(2026, 1, 1)
+    queue, applied, seq = {}, {}, 0
+    for batch_id in range(6):
+        rows = []
+        for _ in range(rng.choice([0, 2, 9])):
+            seq += 1
+            key = rng.choice(["p", "p", "q"]), f"f{rng.randrange(8)}"
+            event = (start + timedelta(seconds=rng.randrange(50)), seq, rng.choice(["add", "change", "unlink"]))
+            rows.append((*key, event[2], event[0], seq, None))
+            old = queue.get(key)
+            queue[key] = (old[0], max(old[1], event)) if old else (seq, event)
+        for project in ("p", "q"):
+            for key in sorted((k for k in queue if k[0] == project), key=lambda k: queue[k][0])[:limit]:
+                applied[key] = max(applied.get(key, queue[key][1]), queue[key][1])
+                del queue[key]
+        batch = spark.createDataFrame(rows, CHANGES)
+        for _ in range(2):
+            sc.drain_batch(batch, batch_id, root, limit)
+        got = {(r.project_id, r.path): (r.queued, (r.ts, r.seq, r.event)) for r in sc.read_pending(spark, root).collect()}
+        assert got == queue
+    assert queue
+    sc.flush(spark, root)
+    for key, (_, event) in queue.items():
+        applied[key] = max(applied.get(key, event), event)
+    assert sc.read_pending(spark, root).count() == 0
+    assert {(r.project_id, r.path): (r.ts, r.seq, r.event) for r in sc.read_overlay(spark, root).collect()} == applied
+    sc.drain_batch(spark.createDataFrame([("p", "late", "add", start, 10**6, None)], CHANGES), 6, root, limit)
+    assert sc.read_overlay(spark, root).count() == len(applied) + 1 and sc.read_pending(spark, root).count() == 0
+
+
+def test_a_waiting_path_makes_its_project_stale(spark, tmp_path):
+    root = str(tmp_path / "s")
+    rows = [(p, f"f{i}", "add", datetime(2026, 1, 1), i, None) for p, n in (("p", 3), ("q", 2)) for i in range(n)]
+    sc.drain_batch(spark.createDataFrame(rows, CHANGES), 0, root, 2)
+    heads = spark.createDataFrame([("p",), ("q",)], "project_id string")
+    none = spark.createDataFrame([], "project_id string, path string, degraded_reason string")
+    out = ov.freshness(heads, sc.read_pending(spark, root).select("project_id", "path"), none, none, none)
+    assert {r.project_id: r.freshness for r in out.collect()} == {"p": "stale", "q": "fresh"}

@@ -308,6 +308,20 @@ def overlay_stream(spark, sf_dir):
     return sc.read_overlay(spark, root).select("project_id", "path", "event", "seq", "deleted")
 
 
+def drain_stream(spark, sf_dir):
+    """Changes in two halves, a run of the stream for each: 20 paths a project are applied by each, the rest waits."""
+    root = scratch(spark)
+    rows = t.changes(spark, sf_dir).withColumn("content", F.lit(None).cast("binary"))
+    middle = t.events(spark, sf_dir).agg(F.expr("max(event_id) div 2")).first()[0]
+    for half in (F.col("seq") <= middle, F.col("seq") > middle):
+        rows.filter(half).write.mode("append").parquet(f"{root}/in")
+        changes = src.read_changes(spark, f"{root}/in", max_files=1 << 20)
+        _run(sc.drain_stream(changes, root, f"{root}/checkpoint", passes=2, size=10))
+    columns = ["project_id", "path", "event", "seq"]
+    applied = sc.read_overlay(spark, root).select(*columns, F.lit("applied").alias("state"))
+    return applied.unionByName(sc.read_pending(spark, root).select(*columns, F.lit("pending").alias("state")))
+
+
 def debounce_stream(spark, sf_dir):
     """Closed batches only: the last batch of a project may still grow when the stream ends."""
     root = scratch(spark)
@@ -353,7 +367,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         read_metadata, metadata_quarantine, write_artifacts, read_corpus, read_messages, publish_generation, hydrate, prune,
-        rebuild, query_map, query_map_passages, capsules, fit_capsule, archive_stream, archive_stream_dedup, overlay_stream, debounce_stream,
+        rebuild, query_map, query_map_passages, capsules, fit_capsule, archive_stream, archive_stream_dedup, overlay_stream, drain_stream, debounce_stream,
         telemetry_stream,
     )
 }
@@ -410,6 +424,18 @@ ORACLES = {
         FROM ok JOIN a USING (project_id) LEFT JOIN s USING (project_id) GROUP BY 1""",
     "archive_stream_dedup": """SELECT 'user-' || user_id AS project_id, count(DISTINCT event_type || props) AS observations,
         count(DISTINCT event_type || props) AS artifacts FROM events GROUP BY 1""",
+    "drain_stream": f"""WITH {sql.CHANGES}, m AS (SELECT max(event_id) // 2 AS middle FROM events),
+        q1 AS (SELECT project_id, path, min(seq) AS queued, max(struct_pack(ts := ts, seq := seq, event := event)) AS e
+               FROM changes, m WHERE seq <= middle GROUP BY 1, 2),
+        n1 AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY queued, path) AS place FROM q1),
+        q2 AS (SELECT project_id, path, min(queued) AS queued, max(e) AS e FROM (
+                 SELECT project_id, path, queued, e FROM n1 WHERE place > 20 UNION ALL
+                 SELECT project_id, path, seq, struct_pack(ts := ts, seq := seq, event := event) FROM changes, m WHERE seq > middle) GROUP BY 1, 2),
+        n2 AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY queued, path) AS place FROM q2),
+        a AS (SELECT project_id, path, max(e) AS e FROM (SELECT project_id, path, e FROM n1 WHERE place <= 20
+                 UNION ALL SELECT project_id, path, e FROM n2 WHERE place <= 20) GROUP BY 1, 2)
+        SELECT project_id, path, e.event AS event, e.seq AS seq, 'applied' AS state FROM a
+        UNION ALL SELECT project_id, path, e.event, e.seq, 'pending' FROM n2 WHERE place > 20""",
     "overlay_stream": f"""WITH {sql.CHANGES}, l AS (SELECT project_id, path, arg_max(event, struct_pack(ts := ts, seq := seq)) AS event,
         arg_max(seq, struct_pack(ts := ts, seq := seq)) AS seq FROM changes GROUP BY 1, 2) SELECT *, event = 'unlink' AS deleted FROM l""",
     "debounce_stream": f"""WITH {sql.CHANGES}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM changes
