@@ -204,24 +204,20 @@ def _one_archive(spark, sf_dir):
 
 
 def _search_input(spark, sf_dir):
-    """One archive of all documents, asked for the first word (any tool) and the first two (English only)."""
+    """One archive of all documents, asked for every three words of the passages, of any tool and of English only."""
     metadata, found = _one_archive(spark, sf_dir)
     words = t.search_queries(spark, sf_dir)
-    asked = words.select(
-        "project_id",
-        F.concat(F.lit("a"), "query_id").alias("query_id"),
-        F.regexp_extract("query", r"^(\S+)", 1).alias("query"),
-        F.lit(None).cast("string").alias("tool_name"),
-        F.lit(7).alias("limit"),
-    ).unionByName(
-        words.select(
+
+    def of(prefix, tool, limit):
+        return words.select(
             "project_id",
-            F.concat(F.lit("b"), "query_id").alias("query_id"),
-            F.regexp_extract("query", r"^(\S+ \S+)", 1).alias("query"),
-            F.lit("en").alias("tool_name"),
-            F.lit(None).cast("int").alias("limit"),
+            F.concat(F.lit(prefix), "query_id").alias("query_id"),
+            "query",
+            F.lit(tool).cast("string").alias("tool_name"),
+            F.lit(limit).cast("int").alias("limit"),
         )
-    )
+
+    asked = of("a", None, 7).unionByName(of("b", "en", None))
     return asked, metadata, found, plans.write_signatures(found, scratch(spark))
 
 
@@ -402,8 +398,8 @@ ORACLES = {
           WHEN length(lang) * (n_chars // 10) < 1 OR length(lang) * (n_chars // 10) > 128 THEN 'tool name is empty or too long'
           ELSE 'valid' END AS reason FROM r""",
     "search_observations": rf"""{_SANE}, {sql.QUERIES},
-        asked AS (SELECT 'a' || query_id AS query_id, regexp_extract(query, '^(\S+)', 1) AS q, NULL AS tool, 7 AS lim FROM queries
-            UNION ALL SELECT 'b' || query_id, regexp_extract(query, '^(\S+ \S+)', 1), 'en', 10 FROM queries),
+        asked AS (SELECT 'a' || query_id AS query_id, query AS q, NULL AS tool, 7 AS lim FROM queries WHERE length(trim(query)) > 0
+            UNION ALL SELECT 'b' || query_id, query, 'en', 10 FROM queries WHERE length(trim(query)) > 0),
         {_lines("sane", "observation_id, tool_name, seq", "sanitized", 1024)},
         m AS (SELECT query_id, lim, l.*, row_number() OVER (PARTITION BY query_id, observation_id ORDER BY line) AS rn
               FROM asked JOIN lines l ON contains(lower(l.text), lower(q)) AND (tool IS NULL OR tool = tool_name)),
@@ -426,8 +422,8 @@ ORACLES = {
         WHERE line_rank <= 5 AND hit_rank <= 20""",
 }
 # A request is valid up to the operator's 512 characters.
-_WORDS_ASKED = """asked AS (SELECT 'a' || query_id AS query_id, regexp_extract(query, '^(\\S+)', 1) AS q, NULL AS tool, 7 AS lim FROM queries
-            UNION ALL SELECT 'b' || query_id, regexp_extract(query, '^(\\S+ \\S+)', 1), 'en', 10 FROM queries)"""
+_WORDS_ASKED = """asked AS (SELECT 'a' || query_id AS query_id, query AS q, NULL AS tool, 7 AS lim FROM queries WHERE length(trim(query)) > 0
+            UNION ALL SELECT 'b' || query_id, query, 'en', 10 FROM queries WHERE length(trim(query)) > 0)"""
 assert _WORDS_ASKED in ORACLES["search_observations"]
 ORACLES["search_observations_passages"] = sql.asked_whole(ORACLES["search_observations"]).replace(
     _WORDS_ASKED,

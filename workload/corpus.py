@@ -141,13 +141,18 @@ def declarations(spark, sf_dir):
     return ex.ts_symbols(files).select("path", "name", "kind", "signature", "exported", "line")
 
 
+def _joined(text):
+    """All words of a text as one name."""
+    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), "_")
+
+
 def _scripts(spark, sf_dir):
-    """Every document line becomes a function named by its first word; documents keep all their lines."""
-    word = F.regexp_extract(F.lower("text"), r"([a-z]+)", 1)
+    """Every document line becomes a function named by all its words; the import is named by all words of the text."""
+    word = _joined(F.col("text"))
     lines = F.transform(
         F.split("text", "\n"),
         lambda l: F.concat(
-            F.lit("export function f"), F.regexp_extract(F.lower(l), r"([a-z]+)", 1),
+            F.lit("export function f"), _joined(l),
             F.lit("(n: string, k = 2): void { use(n, k); }"),
         ),
     )
@@ -216,7 +221,7 @@ def _classes(spark, sf_dir):
     methods = F.transform(
         F.split("text", "\n"),
         lambda l: F.concat(
-            F.lit("  public String m"), F.regexp_extract(F.lower(l), r"([a-z]+)", 1),
+            F.lit("  public String m"), _joined(l),
             F.lit("(int n, List<String> k) throws IOException { return k; }"),
         ),
     )
@@ -505,9 +510,9 @@ _TERMS = rf"""lex0 AS (SELECT project_id, path, unnest(w) AS term, generate_subs
     FROM (SELECT project_id, path, {_WORDS.format("path || ' ' || text")} AS w FROM files)),
 lex AS (SELECT *, row_number() OVER (PARTITION BY project_id, path ORDER BY i) AS rn
         FROM (SELECT project_id, path, term, min(i) AS i FROM lex0 GROUP BY 1, 2, 3))"""
-_LINES = """ln AS (SELECT *, coalesce(regexp_extract(lower(l), '([a-z]+)', 1), '') AS w FROM (
+_LINES = """ln AS (SELECT *, array_to_string(regexp_extract_all(lower(l), '[a-z]+'), '_') AS w FROM (
     SELECT project_id, path, doc_id, text, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM files))"""
-_CLASSES = """ln AS (SELECT *, coalesce(regexp_extract(lower(l), '([a-z]+)', 1), '') AS w FROM (
+_CLASSES = """ln AS (SELECT *, array_to_string(regexp_extract_all(lower(l), '[a-z]+'), '_') AS w FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"""
 
 _ACCENTS = ("ßäçèéêíñóöü", "ABCDEFGHIJK")
@@ -608,7 +613,7 @@ ORACLES = {
     "declarations": f"""{_DOCS}, {_LINES} SELECT path, 'f' || w AS name, 'function' AS kind,
         'function f' || w || '(n: string, k?: number): void' AS signature, true AS exported, (i + 1)::BIGINT AS line FROM ln""",
     "declared_imports": """SELECT lang || '/' || doc_id || '.txt' AS path, './' || w || '.js' AS source, CASE WHEN w = '' THEN 'as a' ELSE 'a' END AS names,
-        false AS type_only FROM (SELECT *, coalesce(regexp_extract(lower(text), '([a-z]+)', 1), '') AS w FROM documents)""",
+        false AS type_only FROM (SELECT *, array_to_string(regexp_extract_all(lower(text), '[a-z]+'), '_') AS w FROM documents)""",
     "declared_exports": f"{_DOCS}, {_LINES} SELECT path, count(*) AS exports, min('f' || w) AS first, max('f' || w) AS last FROM ln GROUP BY 1",
     "java_types": """SELECT doc_id || '.java' AS path, 'D' || doc_id AS name, 'class' AS kind,
         'public final class D' || doc_id || '<T extends Base> implements Doc<T>' AS signature, 4::BIGINT AS line, 'Gen' AS annotations,

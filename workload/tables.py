@@ -128,11 +128,16 @@ def one_project():
 
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """benchmark passages as queries: their first three words."""
-    return table(spark, sf_dir, "benchmark").select(
+    """benchmark passages as queries: every three words in a row, from the first to the last."""
+    words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
+    parts = F.transform(
+        F.sequence(F.lit(0), F.ceil(F.size(words) / 3).cast("int") - 1), lambda i: F.array_join(F.slice(words, i * 3 + 1, F.lit(3)), " ")
+    )
+    cut = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(parts).alias("part", "query"))
+    return cut.select(
         F.substring(F.concat(F.lit("src"), "item_id"), 1, 3).alias("project_id"),
-        F.col("item_id").cast("string").alias("query_id"),
-        F.array_join(F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, 3), " ").alias("query"),
+        F.concat_ws(".", F.col("item_id").cast("string"), F.col("part").cast("string")).alias("query_id"),
+        "query",
     )
 
 
