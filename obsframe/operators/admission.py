@@ -14,10 +14,12 @@ from ..functions.paths import (
     glob_regex,
     has_excluded_segment,
     path_prefixes,
+    rule_key,
     rule_struct,
 )
 
 TEXT_PROBE_BYTES = 8192
+RULES_PER_ROW = 256
 
 
 def exclude_segments(df: DataFrame, segments: Sequence[str] = EXCLUDED_SEGMENTS) -> DataFrame:
@@ -34,33 +36,66 @@ def exclude_globs(df: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return df.filter(~_excluded(patterns)) if patterns else df
 
 
-def rule_arrays(rules: DataFrame) -> DataFrame:
-    """Each project's ignore file as one ordered array of parsed rules."""
-    parsed = rules.select("project_id", "rule_idx", rule_struct("pattern").alias("rule")).filter("rule IS NOT NULL")
-    return parsed.groupBy("project_id").agg(
-        F.array_sort(F.collect_list(F.struct("rule_idx", "rule"))).alias("_rules")
+def _applies(r: Column, p: Column) -> Column:
+    return (p["is_directory"] | ~r["rule"]["directory_only"]) & F.rlike(
+        F.when(r["rule"]["whole_path"], p["prefix"]).otherwise(p["segment"]), r["rule"]["regex"]
     )
 
 
 def _table_verdict(p: Column) -> Column:
-    hits = F.filter(
-        "_rules",
-        lambda r: (p["is_directory"] | ~r["rule"]["directory_only"])
-        & F.rlike(F.when(r["rule"]["whole_path"], p["prefix"]).otherwise(p["segment"]), r["rule"]["regex"]),
-    )
+    hits = F.filter("_rules", lambda r: _applies(r, p))
     return F.coalesce(~F.try_element_at(hits, F.lit(-1))["rule"]["negated"], F.lit(False))
 
 
+def _hidden_paths(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """(project_id, path) with an ignored part.
+
+    Folders and files are judged once, however many paths share them: a rule with a literal beginning meets only what lies
+    there, and rules that begin with a wildcard meet every part in arrays of some hundred.  The last match of a part decides
+    by ``max_by``; then each path looks for an ignored part.
+    """
+    node = ["project_id", "prefix", "is_directory"]
+    parts = paths.select("project_id", "path", F.explode(path_prefixes("path")).alias("_p")).select("project_id", "path", "_p.*")
+    nodes = parts.select(*node, "segment").distinct()
+    parsed = rules.select("project_id", "rule_idx", rule_struct("pattern").alias("rule"), rule_key("pattern").alias("key")).filter("rule IS NOT NULL")
+    parsed = parsed.select("project_id", "rule_idx", "rule.regex", "rule.negated", "rule.directory_only", "key.whole_path", "key.literal")
+
+    names = F.split("prefix", "/")
+    above = F.transform(
+        F.sequence(F.lit(1), F.size(names)), lambda n: F.struct(F.lit(True).alias("whole_path"), F.array_join(F.slice(names, F.lit(1), n), "/").alias("literal"))
+    )
+    own = F.array(F.struct(F.lit(False).alias("whole_path"), F.col("segment").alias("literal")))
+    offered = nodes.select(*node, "segment", F.explode(F.concat(above, own)).alias("_k")).select(*node, "segment", "_k.*")
+    met = offered.join(parsed.filter("literal <> ''"), ["project_id", "whole_path", "literal"]).filter(
+        (F.col("is_directory") | ~F.col("directory_only")) & F.rlike(F.when(F.col("whole_path"), F.col("prefix")).otherwise(F.col("segment")), F.col("regex"))
+    )
+    plain = met.groupBy(*node).agg(F.max_by("negated", "rule_idx").alias("negated"), F.max("rule_idx").alias("rule_idx"))
+
+    wild = parsed.filter("literal = ''")
+    counts = wild.groupBy("project_id").agg(F.count("*").alias("_n"))
+    listed = (
+        wild.join(counts, "project_id")
+        .withColumn("_part", F.pmod(F.xxhash64("rule_idx"), F.ceil(F.col("_n") / RULES_PER_ROW)))
+        .groupBy("project_id", "_part")
+        .agg(F.array_sort(F.collect_list(F.struct("rule_idx", F.struct("regex", "negated", "directory_only", "whole_path").alias("rule")))).alias("_rules"))
+    )
+    last = F.try_element_at(F.filter("_rules", lambda r: _applies(r, F.struct("prefix", "segment", "is_directory"))), F.lit(-1))
+    scanned = nodes.join(listed, "project_id").select(*node, last.alias("_r")).filter("_r IS NOT NULL")
+    judged = plain.unionByName(scanned.select(*node, F.col("_r.rule.negated").alias("negated"), F.col("_r.rule_idx").alias("rule_idx")))
+    ignored = judged.groupBy(*node).agg(F.max_by("negated", "rule_idx").alias("negated")).filter(~F.col("negated")).drop("negated")
+    return parts.join(ignored, node, "left_semi").select("project_id", "path").distinct()
+
+
 def mark_ignored(paths: DataFrame, rules: Sequence[str] | DataFrame) -> DataFrame:
     """Add ``ignored``: the last matching rule of some leading part of the path says so.
 
-    All parts and rules of a path are compared inside its row, so no (path, rule) pair is ever a row.
-    ``rules`` is one list for all projects, or a table (project_id, rule_idx, pattern).
+    ``rules`` is one list for all projects, compared inside the row of a path, or a table (project_id, rule_idx, pattern) of
+    any size, which is looked up by what its lines say in plain words.
     """
     if isinstance(rules, DataFrame):
-        joined = paths.join(rule_arrays(rules), "project_id", "left")
-        ignored = F.coalesce(F.exists(path_prefixes("path"), _table_verdict), F.lit(False))
-        return joined.withColumn("ignored", F.col("_rules").isNotNull() & ignored).drop("_rules")
+        hidden = _hidden_paths(paths, rules).withColumn("_hidden", F.lit(True))
+        joined = paths.join(hidden, ["project_id", "path"], "left")
+        return joined.withColumn("ignored", F.coalesce("_hidden", F.lit(False))).drop("_hidden").select(*paths.columns, "ignored")
     parsed = F.array(*[F.struct(F.lit(i).alias("rule_idx"), rule_struct(F.lit(r)).alias("rule")) for i, r in enumerate(rules)])
     ignored = F.lit(False)
     if rules:
