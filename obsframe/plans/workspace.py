@@ -135,7 +135,7 @@ def capsules(
             lambda r: F.struct(
                 r["path"].alias("path"),
                 r["kind"].alias("kind"),
-                r["matched_symbols"].alias("matchedSymbols"),
+                r["matched_symbols"].alias("named"),
                 r["symbols"].alias("symbols"),
                 r["dependencies"].alias("dependencies"),
             ),

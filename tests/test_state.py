@@ -53,13 +53,13 @@ def cut(p, limit):
     def size():
         return len((tn.CAPSULE_HEADER + json.dumps(p, ensure_ascii=False, separators=(",", ":"))).encode())
 
-    for name, floor in (("results", 0), ("pendingFiles", 0), ("fallbackEvidence", 1)):
+    for name, floor in (("hits", 0), ("waiting", 0), ("evidence", 1)):
         while size() > limit and len(p[name]) > floor:
             p[name].pop()
-    while size() > limit and len(p["query"]) > 64:
-        p["query"] = p["query"][:-32]
-    while size() > limit and any(len(e["excerpt"]) > 96 for e in p["fallbackEvidence"]):
-        for e in p["fallbackEvidence"]:
+    while size() > limit and len(p["asked"]) > 64:
+        p["asked"] = p["asked"][:-32]
+    while size() > limit and any(len(e["excerpt"]) > 96 for e in p["evidence"]):
+        for e in p["evidence"]:
             e["excerpt"] = e["excerpt"][: max(96, len(e["excerpt"]) // 2)]
     return p if size() <= limit else None
 
@@ -88,17 +88,17 @@ def test_fit_matches_sequential_rule(spark):
         for r in rows:
             body = json.loads(got[r[0]].removeprefix(tn.CAPSULE_HEADER))
             assert len(got[r[0]].encode()) <= limit
-            assert (body["freshness"], body["workspaceRevision"]) == (r[2], r[5])
+            assert (body["freshness"], body["revision"]) == (r[2], r[5])
             payload = {
-                "type": tn.CAPSULE_TYPE, "trust": "untrusted-derived-navigation-data", "query": r[1], "freshness": r[2], "generation": 7,
-                "head": "head", "workspaceRevision": r[5], "pendingFiles": list(r[6]),
-                "results": [{"path": a, "kind": b} for a, b in r[7]],
-                "fallbackEvidence": [{"kind": k, "path": p, "excerpt": e[:1024]} for k, p, e in r[8][:3]],
+                "type": tn.CAPSULE_TYPE, "note": tn.CAPSULE_NOTE, "asked": r[1], "freshness": r[2], "generation": 7,
+                "head": "head", "revision": r[5], "waiting": list(r[6]),
+                "hits": [{"path": a, "kind": b} for a, b in r[7]],
+                "evidence": [{"kind": k, "path": p, "excerpt": e[:1024]} for k, p, e in r[8][:3]],
             }
             if r[9]:
-                payload["error"] = r[9][:512]
+                payload["problem"] = r[9][:512]
             want = cut(payload, limit)
-            assert body == want if want else body["truncated"], (r[0], limit)
+            assert body == want if want else body["cut"], (r[0], limit)
 
 
 def test_fit_rejects_small_budget(spark):
@@ -195,8 +195,8 @@ def test_capsules_of_unavailable_files(spark):
     assert [r.built for r in out] == [True, False] and out[0].capsule == out[1].capsule
     body = json.loads(out[0].capsule.removeprefix(tn.CAPSULE_HEADER))
     assert len(out[0].capsule.encode()) <= 1024 and body["freshness"] == "stale" and body["generation"] == 3
-    assert body["pendingFiles"] == [f"f{i:03d}" for i in range(len(body["pendingFiles"]))]
-    assert body["fallbackEvidence"][0]["excerpt"].startswith("No indexed source file")
+    assert body["waiting"] == [f"f{i:03d}" for i in range(len(body["waiting"]))]
+    assert body["evidence"][0]["excerpt"].startswith("No indexed source file")
 
 
 # --- sources and streams -----------------------------------------------------------------------------

@@ -201,7 +201,7 @@ def capsules(spark, sf_dir):
     body = F.substring("capsule", len(tn.CAPSULE_HEADER) + 1, CAPSULE_BYTES)
     return out.select(
         "session_id", "call_id", "built", (fx.byte_len("capsule") <= CAPSULE_BYTES).alias("within"),
-        F.get_json_object(body, "$.freshness").alias("freshness"), fx.sha256(F.get_json_object(body, "$.query")).alias("query_hash"),
+        F.get_json_object(body, "$.freshness").alias("freshness"), fx.sha256(F.get_json_object(body, "$.asked")).alias("query_hash"),
     )
 
 
@@ -225,7 +225,7 @@ def fit_capsule(spark, sf_dir):
     body = F.substring("capsule", len(tn.CAPSULE_HEADER) + 1, CAPSULE_BYTES)
     return out.select(
         "doc_id", (fx.byte_len("capsule") <= CAPSULE_BYTES).alias("within"), F.get_json_object(body, "$.freshness").alias("freshness"),
-        F.get_json_object(body, "$.workspaceRevision").alias("revision"),
+        F.get_json_object(body, "$.revision").alias("revision"),
     )
 
 
