@@ -41,8 +41,8 @@ def virtualize(observations: DataFrame, threshold: int = 16 * 1024, receipt_max:
 
     The sanitized content is in the row already, so nothing is joined or shuffled.
     """
-    sanitized = sanitize(eligible(observations))
     replaced = F.col("original_bytes") > threshold
-    large = receipt(sanitized.filter(replaced), receipt_max).withColumn("output", F.col("receipt")).drop("receipt")
-    small = sanitized.filter(~replaced).withColumn("output", F.col("text"))
-    return large.withColumn("replaced", F.lit(True)).unionByName(small.withColumn("replaced", F.lit(False)))
+    # One pass: the preview of a text that stays is never made.
+    sanitized = sanitize(eligible(observations)).withColumn("replaced", replaced).withColumn("_large", F.when(F.col("replaced"), F.col("sanitized")))
+    shown = receipt(sanitized, receipt_max, "_large")
+    return shown.withColumn("output", F.when(F.col("replaced"), F.col("receipt")).otherwise(F.col("text"))).drop("receipt", "_large")
