@@ -62,6 +62,25 @@ def boost(x: np.ndarray, n: np.ndarray, positive: np.ndarray, trees: int, depth:
     return base, out
 
 
+def calibrated(score: np.ndarray, n: np.ndarray, positive: np.ndarray) -> list[tuple[float, float, float]]:
+    """Isotonic regression of the share of positives on the score, from the highest block down: lowest score of the block, its
+    probability, share of positives from there upwards.  Cells without a labelled row take no part.
+    """
+    pools: list[list[float]] = []
+    for low in np.unique(score[n > 0]):
+        at = (score == low) & (n > 0)
+        pools.append([float(low), float(positive[at].sum()), float(n[at].sum())])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            _, more, count = pools.pop()
+            pools[-1][1] += more
+            pools[-1][2] += count
+    out, above, count = [], 0.0, 0.0
+    for low, own, rows in reversed(pools):
+        above, count = above + own, count + rows
+        out.append((low, own / rows, above / count))
+    return out
+
+
 def score_column(base: float, trees: list, features: list[Column]) -> Column:
     def of(tree) -> Column:
         if isinstance(tree, Leaf):

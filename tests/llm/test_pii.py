@@ -176,3 +176,59 @@ def test_trees_find_what_no_check_proves(spark):
             assert (kind, at, at + len(value)) in [tuple(s) for s in r.spans], r.text
         elif r.doc_id >= len(texts) + len(proven):
             assert not r.spans, (r.text, r.spans)
+
+
+def test_context_decides_between_equal_formats(spark):
+    """Card numbers with a typing error fail the check; the words around proven ones tell them from lots of the same format."""
+    import random
+
+    rng = random.Random(7)
+
+    def number(good: bool) -> str:
+        while True:
+            d = "".join(rng.choice("123456789") for _ in range(16))
+            if luhn(d) == good:
+                return " ".join(d[i : i + 4] for i in range(0, 16, 4))
+
+    texts = [f"guest {i} paid {number(True)} yesterday" for i in range(600)]
+    texts += [f"stored in batch {number(False)} of {i}" for i in range(600)]
+    typed = {len(texts) + i: f"guest {i} paid {number(False)} yesterday" for i in range(4)}
+    docs = frame(spark, texts + list(typed.values()))
+    model = pii.train(docs)
+    for r in pii.find(docs, model, "spans").collect():
+        kinds = [s.kind for s in r.spans]
+        if r.doc_id in typed:
+            assert kinds == ["number"], r.text
+        else:
+            assert kinds == (["card"] if r.doc_id < 600 else []), r.text
+
+
+def test_calibration_is_isotonic():
+    score, n, positive = np.array([0.0, 1.0, 2.0, 3.0, 4.0]), np.array([10.0, 10.0, 10.0, 0.0, 10.0]), np.array([1.0, 6.0, 4.0, 0.0, 10.0])
+    assert boosting.calibrated(score, n, positive) == [(4.0, 1.0, 1.0), (1.0, 0.5, 20 / 30), (0.0, 0.1, 21 / 40)]
+    assert boosting.calibrated(score, np.zeros(5), np.zeros(5)) == []
+
+
+@pytest.mark.parametrize("size", [0, 1, 255, 256, 257, 1000])
+def test_walk_equals_a_loop(spark, size):
+    from obsframe.llm.folds import walk
+
+    values = [(7 * i) % 13 for i in range(size)]
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    got = df.select(walk(F.col("v"), F.lit(0), lambda a, x: a + x, lambda a, x: a, "int")).first()[0]
+    assert got == [sum(values[:i]) for i in range(size)]
+
+
+def test_texts_of_very_many_matches(spark):
+    import time
+
+    many = 100_000
+    text = "".join(f"a{i}@b.cc token=0123456789abcdef{i:06d} " for i in range(many))
+    docs = frame(spark, [text] + [f"w{i} token = {hashlib.sha1(b'%d' % i).hexdigest()} end" for i in range(60)])
+    model = pii.train(docs)
+    begun = time.time()
+    found = pii.find(docs, model, "spans").filter("doc_id = 0")
+    row = found.select("spans", pii.redact(F.col("text"), F.col("spans")).alias("t")).first()
+    assert [s[0] for s in row.spans] == ["email"] * many + ["secret"] * many
+    assert row.t == "[EMAIL] [SECRET] " * many
+    assert time.time() - begun < 90
