@@ -118,7 +118,8 @@ def top_inner_products(vectors: DataFrame, is_query: Column, p: TopKParams = Top
     for each bit of each attribute above its smallest value; every chunk of queries visits every block, which sends its k
     best.  Work is rows x queries / 64 words and bounded in memory by one block and one chunk.  Shorter vectors count as
     padded with zeros.  Null ids and unusable vectors take no part; zero vectors do; repeated rows are each a row.
-    Components for which a score could leave 64 bits are refused.
+    Bitmaps of a sum are as many as it needs and their values are whole numbers of any size, so a score is exact as long as
+    it fits a long itself; a result with one that does not fails.  Components of 2**62 and more are refused.
     """
     clean = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"), allow_zero=True)).select(
         F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), p).alias("v"), is_query.alias("asks")
@@ -128,8 +129,8 @@ def top_inner_products(vectors: DataFrame, is_query: Column, p: TopKParams = Top
     total = max((r.n for r in ranges), default=0)
     low = np.array([min(r.low, 0) for r in ranges], dtype=np.int64)
     # A component beyond 64 bits shows as the largest number of them.
-    if sum(max(abs(r.low), abs(r.high)) ** 2 for r in ranges) >= 1 << 63:
-        raise ValueError("components are so large that an inner product can leave 64 bits")
+    if any(max(abs(r.low), abs(r.high)) >= 1 << 62 for r in ranges):
+        raise ValueError("a component leaves 64 bits")
     widths = np.array([max(1, int(max(r.high, 0) - min(r.low, 0)).bit_length()) for r in ranges], dtype=np.int64)
     blocks = max(1, -(-total // p.block_rows))
     index = staged(

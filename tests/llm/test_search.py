@@ -142,6 +142,11 @@ def test_large_components_are_exact_and_too_large_ones_refused(spark):
         topk.top_inner_products(df, F.col("vec_id") == 0)
 
 
+def test_one_large_component_a_row_is_no_reason_to_refuse(spark):
+    x = np.ones((64, 64)) + np.eye(64) * 2.0**21
+    check_top(spark, rows_of(x), np.floor(256 * x).astype(np.int64).astype(object), np.arange(64), topk.TopKParams())
+
+
 @pytest.mark.parametrize("dim", [1, 2])
 def test_small_dimensions_are_searched(spark, dim):
     x = clustered(60, dim, 4)
