@@ -16,6 +16,8 @@ _LINE = "\r\n"
 # A record ends with two line breaks: the writer puts them after each row.
 _END = _LINE * 2
 _HTTP = f"HTTP/1.1 200 OK{_LINE}Content-Type: text/html; charset=utf-8{_LINE}{_LINE}"
+# Rows of one key are dealt to so many parts.
+_SALTS = 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -39,13 +41,20 @@ def _record_id(page_id: Column, digest: Column) -> Column:
 def resolve(pages: DataFrame, least_bytes: int) -> DataFrame:
     """page_id, digest, original: the pages whose payload another page of a smaller id holds.
 
-    Headers alone are shuffled by digest.  The ids of a digest are reduced in each task before the shuffle, and the join
-    has one row for a digest on its other side, so a payload that many pages share is no hot group.
+    Headers alone are shuffled by digest.  The ids of a digest are reduced in each task before the shuffle; only digests that
+    occur again go on, a row each, and meet the pages over salts, so a payload that many pages share is no hot group.
     """
     heads = staged(_headers(pages).select("page_id", "digest", "payload_bytes")).filter(F.col("payload_bytes") >= least_bytes)
-    first = heads.groupBy("digest").agg(F.min("page_id").alias("original"))
-    joined = heads.select("page_id", "digest").join(first, "digest")
-    return joined.filter(F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))).distinct()
+    first = heads.groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1 and original is not null")
+    joined = _met(heads.select("page_id", "digest"), F.col("page_id"), first.select("digest", "original"), "digest")
+    return joined.filter(~F.col("page_id").eqNullSafe(F.col("original"))).distinct()
+
+
+def _met(many: DataFrame, salt: Column, few: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``many`` with ``few``, of one row for a key, over salts of ``many``."""
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(_SALTS)).cast("int"))
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return salted.join(spread, [key, "_salt"]).drop("_salt")
 
 
 def records(pages: DataFrame, date: str, least_bytes: int, files: int) -> DataFrame:
@@ -157,17 +166,29 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
 def resolved(read: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to: revisits take what their response holds.
 
-    The join's other side has a row for each response, so a response that many pages revisit is no hot group.
+    Responses pass through.  Revisits meet the responses that are asked for, a row each, over salts, so neither a response
+    that many pages revisit nor the responses themselves are a hot group.  A revisit whose response is in no archive has nulls.
     """
-    held = read.filter("record_type = 'response'").select(
-        F.col("record_id").alias("_id"), F.col("page_id").alias("_page"), F.col("block_payload_bytes").alias("_bytes"), F.col("block_digest").alias("_digest")
+    own = read.filter("record_type = 'response'")
+    again = read.filter("record_type <> 'response'").select("page_id", "record_type", F.col("refers_to_id").alias("record_id"))
+    wanted = again.select("record_id").distinct()
+    held = own.join(wanted, "record_id", "left_semi").dropDuplicates(["record_id"])
+    held = held.select("record_id", "block_payload_bytes", "block_digest", F.col("page_id").alias("_page"))
+    # Asked ids without a response stay, as rows of nulls.
+    asked = wanted.join(held, "record_id", "left")
+    # A null id meets nothing.
+    lost = again.filter("record_id is null").select(
+        "page_id", F.lit(None).cast("long"), F.lit(None).cast("string"), "record_type", F.lit(None).cast("long")
     )
-    joined = read.join(held.dropDuplicates(["_id"]), F.col("refers_to_id") == F.col("_id"), "left")
-    own = F.col("record_type") == "response"
-    return joined.select(
+    met = _met(again, F.col("page_id"), asked.filter("record_id is not null"), "record_id")
+    named = met.select(
         "page_id",
-        F.when(own, F.col("block_payload_bytes")).otherwise(F.col("_bytes")).alias("payload_bytes"),
-        F.when(own, F.col("block_digest")).otherwise(F.col("_digest")).alias("payload_digest"),
+        F.col("block_payload_bytes").alias("payload_bytes"),
+        F.col("block_digest").alias("payload_digest"),
         "record_type",
-        F.when(~own, F.col("_page")).alias("refers_to"),
+        F.col("_page").alias("refers_to"),
+    )
+    plain = own.select(
+        "page_id", F.col("block_payload_bytes").alias("payload_bytes"), F.col("block_digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to")
     )
+    return plain.union(named).union(lost)
