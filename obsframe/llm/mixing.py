@@ -2,24 +2,49 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsframe.llm.common import key_hash, positions, unit_hash
+from obsframe.llm.folds import let, walk
+
+
+def _skipped(mean: Column) -> Column:
+    """The first count that is weighed: what lies below it, 12 deviations and more under the mean, is less than 1e-30."""
+    return F.greatest(F.lit(0.0), F.floor(mean - 12 * F.sqrt(mean) - 30).cast("double"))
 
 
 def poisson_thresholds(mean: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... until what is left is below 1e-15; terms by their logarithms, so no mean underflows."""
-    last = F.ceil(mean + 12 * F.sqrt(mean) + 30).cast("int")
-    step = lambda acc, k: F.struct(
-        (acc["log"] + F.log(mean) - F.log(k.cast("double"))).alias("log"),
-        (acc["sum"] + F.exp(acc["log"] + F.log(mean) - F.log(k.cast("double")))).alias("sum"),
-        F.concat(acc["out"], F.array(acc["sum"] + F.exp(acc["log"] + F.log(mean) - F.log(k.cast("double"))))).alias("out"),
+    """P(X <= k) for k = _skipped(mean) and the counts after it, until what is left is below 1e-15.
+
+    Terms go by their logarithms, so no mean underflows; the first by the Stirling series.  Some 24 deviations are walked, so
+    the array grows with the root of the mean.
+    """
+    first, last = _skipped(mean), F.ceil(mean + 12 * F.sqrt(mean) + 30).cast("double")
+    k = F.greatest(first, F.lit(1.0))
+    off = (mean - k) / k
+    series = 1 / (12 * k) - 1 / (360 * F.pow(k, F.lit(3))) + 1 / (1260 * F.pow(k, F.lit(5)))
+    start = F.when(first > 0, k * (F.log1p(off) - off) - F.log(2 * math.pi * k) / 2 - series).otherwise(-mean)
+    log = lambda acc, i: acc["log"] + F.log(mean) - F.log(first + i.cast("double"))
+    return F.when(
+        mean > 0,
+        let(
+            F.struct(start.alias("log"), F.exp(start).alias("sum")),
+            lambda begun: F.concat(
+                F.array(begun["sum"]),
+                walk(
+                    F.sequence(F.lit(1), (last - first).cast("int")),
+                    begun,
+                    lambda acc, i: F.struct(log(acc, i).alias("log"), (acc["sum"] + F.exp(log(acc, i))).alias("sum")),
+                    lambda acc, i: acc["sum"] + F.exp(log(acc, i)),
+                    "double",
+                ),
+            ),
+        ),
     )
-    start = F.struct((-mean).alias("log"), F.exp(-mean).alias("sum"), F.array(F.exp(-mean)).alias("out"))
-    return F.when(mean > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["out"]))
 
 
 def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, rows: float | None = None) -> DataFrame:
@@ -54,7 +79,7 @@ def repetitions(docs: DataFrame, weights: Mapping[str, float] | None = None, see
     joined = docs.select(F.struct("*").alias("_row"), F.col("source").alias("source"), u.alias("u")).join(
         table, F.col("source").eqNullSafe(F.col("_source")), "left"
     )
-    copies = F.coalesce(F.size(F.filter("_cdf", lambda c: c <= F.col("u"))), F.lit(0))
+    copies = F.coalesce(_skipped(F.col("mean")).cast("int") + F.size(F.filter("_cdf", lambda c: c <= F.col("u"))), F.lit(0))
     return joined.select("_row", "source", "mean", "u", F.when(F.col("mean") > 0, copies).otherwise(0).alias("copies"))
 
 

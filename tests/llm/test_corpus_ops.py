@@ -161,6 +161,15 @@ def test_write_shards(spark, tmp_path):
 # --- mixing
 
 
+def test_poisson_of_very_large_means(spark):
+    """One document that stands for ten million: the count lies where the normal approximation puts it."""
+    df = spark.createDataFrame([(i, "rare", "x") for i in range(40)], "doc_id long, source string, text string")
+    rows = mixing.repetitions(df, rows=4e8).select("mean", "u", "copies").collect()
+    z = [(r.copies - r.mean) / r.mean**0.5 for r in rows]
+    assert {r.mean for r in rows} == {1e7}
+    assert all(abs(math.erf(v / 2**0.5) / 2 + 0.5 - r.u) < 1e-3 for v, r in zip(z, rows, strict=True))
+
+
 def poisson_quantile(mean: float, u: float) -> int:
     if mean <= 0:
         return 0

@@ -222,7 +222,7 @@ def test_walk_equals_a_loop(spark, size):
 def test_texts_of_very_many_matches(spark):
     import time
 
-    many = 100_000
+    many = 20_000
     text = "".join(f"a{i}@b.cc token=0123456789abcdef{i:06d} " for i in range(many))
     docs = frame(spark, [text] + [f"w{i} token = {hashlib.sha1(b'%d' % i).hexdigest()} end" for i in range(60)])
     model = pii.train(docs)
