@@ -312,3 +312,19 @@ def test_a_waiting_path_makes_its_project_stale(spark, tmp_path):
     none = spark.createDataFrame([], "project_id string, path string, degraded_reason string")
     out = ov.freshness(heads, sc.read_pending(spark, root).select("project_id", "path"), none, none, none)
     assert {r.project_id: r.freshness for r in out.collect()} == {"p": "stale", "q": "fresh"}
+
+
+def test_streams_read_a_table_of_one_file_and_a_folder_of_files(spark, tmp_path):
+    from workload import storage
+
+    rows = spark.range(40).selectExpr(
+        "id AS doc_id", "concat('text ', id) AS text", "'en' AS lang", "concat('src', id % 2) AS source", "200L AS n_chars"
+    )
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "one" / "documents.parquet")
+    found = [sorted(storage.archive_stream(spark, str(tmp_path / d)).collect()) for d in ("one", "many")]
+    # Nothing is set aside here: there are no dead letters to read.
+    assert found[0] == found[1]
+    assert [(r.project_id, r.observations, r.set_aside) for r in found[0]] == [("src0", 20, 0), ("src1", 20, 0)]

@@ -234,7 +234,8 @@ def fit_capsule(spark, sf_dir):
 
 def _stream(spark, sf_dir, name):
     schema = t.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # A pattern takes a table of one file and a folder of files alike; a plain path has to be a folder.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _run(writer):
@@ -257,9 +258,13 @@ def archive_stream(spark, sf_dir):
     params = Params(archive_threshold_bytes=t.THRESHOLD, receipt_max_bytes=t.RECEIPT_MAX)
     _run(sa.archive_stream(rows, root, f"{root}/checkpoint", params))
     metadata, found = sa.read_archive(spark, root)
-    outputs = spark.read.parquet(f"{root}/outputs").groupBy("project_id").agg(F.count_if("replaced").alias("replaced"))
+    # A stream may set nothing aside: then there is no such folder.
+    outputs = src.read_or_empty(spark, f"{root}/outputs", "project_id string, replaced boolean")
+    outputs = outputs.groupBy("project_id").agg(F.count_if("replaced").alias("replaced"))
     sizes = found.groupBy("project_id").agg(F.count(F.lit(1)).alias("artifacts"), F.sum("size").alias("bytes"))
-    dead = spark.read.parquet(f"{root}/dead_letters").groupBy("project_id").agg(F.count(F.lit(1)).alias("set_aside"))
+    dead = src.read_or_empty(spark, f"{root}/dead_letters", "project_id string").groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("set_aside")
+    )
     return (
         metadata.groupBy("project_id")
         .agg(F.count(F.lit(1)).alias("observations"), F.sum("redaction_count").alias("redactions"))
