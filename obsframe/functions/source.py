@@ -22,9 +22,9 @@ MASK = "".join(chr(0xE000 + i) for i in range(len(STRUCTURAL)))
 ARROW = chr(0xE00A)  # a masked "=>"
 OPEN_BRACE, CLOSE_BRACE, SEMICOLON, NEWLINE, OPEN, CLOSE, COMMA, LESS, MORE, EQUALS = MASK
 
-# Where a slash starts a pattern literal: behind what cannot end an operand.
+# Where a slash starts a pattern literal: behind what cannot end an operand.  The slash is tested before what stands behind.
 _PATTERN_LITERAL = (
-    r"(?:(?<=(?:[(,=:\[!&|?;{}+*%~^-]|=>|\breturn|\btypeof|\bcase)\s{0,16})|(?<=\A\s{0,16}))"
+    r"(?=/)(?:(?<=(?:[(,=:\[!&|?;{}+*%~^-]|=>|\breturn|\btypeof|\bcase)\s{0,16})|(?<=\A\s{0,16}))"
     r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*+"
 )
 _TOKENS = "|".join(
@@ -61,6 +61,11 @@ def _retokenized(text: Column, pattern: str, change) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), change), "")
 
 
+def once(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often it is read."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _mask(c: Column) -> Column:
     return F.translate(c, STRUCTURAL, MASK)
 
@@ -89,13 +94,19 @@ def masked_source(text: Column | str, script: bool) -> Column:
         return F.when(F.startswith(t, F.lit("(")) & (F.length(t) > 1), _mask(t)).otherwise(t)
 
     out = _retokenized(_col(text), f"{_PATTERN_LITERAL}|{_TOKENS}" if script else _TOKENS, token)
-    rounds = F.sequence(F.lit(1), F.least(F.greatest(deepest(out, "()"), F.lit(1)), F.lit(MAX_NESTING)))
-    out = F.aggregate(rounds, out, lambda t, _: _retokenized(t, r"\([^()]*\)|[^()]+|[()]", parens))
+    def grouped(t: Column) -> Column:
+        # Parentheses nest only where one opens before another has closed: most texts need no count.
+        deep = F.when(t.rlike(r"\([^()]*\("), deepest(t, "()")).otherwise(F.lit(1))
+        rounds = F.sequence(F.lit(1), F.least(F.greatest(deep, F.lit(1)), F.lit(MAX_NESTING)))
+        return F.aggregate(rounds, t, lambda t, _: _retokenized(t, r"\([^()]*\)|[^()]+|[()]", parens))
+
+    out = once(out, grouped)
     if script:
-        lists = (
-            r"(?<![\w$.])(?:import|export)\s*(?:type\s+)?(?:[\w$]+\s*,\s*)?\{[^{}]*\}|[^ie]+|[ie]"
-        )
-        out = _retokenized(out, lists, lambda t: F.when(F.contains(t, F.lit("{")) & t.rlike(r"\A(?:import|export)"), _mask(t)).otherwise(t))
+        # Between lists the text goes on to the next word that may start one.
+        word = r"(?<![\w$.])(?:import|export)"
+        named = r"\s*(?:type\s+)?(?:[\w$]+\s*,\s*)?\{[^{}]*\}"
+        pieces = word + named + rf"|[\s\S][\s\S]*?(?={word}|\z)"
+        out = _retokenized(out, pieces, lambda t: F.when(t.rlike(rf"\A(?:import|export){named}\z"), _mask(t)).otherwise(t))
     return out
 
 

@@ -255,3 +255,28 @@ def test_type_lists_of_any_depth(spark):
     deep = "A<" * 30 + "B, C" + ">" * 30
     row = spark.range(1).select(src.split_type_list(F.lit(f"{deep}, D<E<F<G<H, I>>>>, J")).alias("parts")).first()
     assert row.parts == [deep, "D<E<F<G<H, I>>>>", "J"]
+
+
+def test_lists_are_masked_and_headers_with_bodies_are_not(spark):
+    # Words that begin like a list, or hold one inside a name, are no lists; parentheses nest only in the last line.
+    text = (
+        "export function iex(n: number) { return n; }\nreimport { a };\nx.export { b };\n"
+        "import main, { c as d } from './c';\nexport { e };\nfunction f(g = h(1), k = (2)) {}\n"
+    )
+    (row,) = spark.createDataFrame([(text,)], "text string").select(src.masked_source("text", script=True).alias("m")).collect()
+    shown = row.m.translate({ord(m): s for m, s in zip(src.MASK, src.STRUCTURAL, strict=True)})
+    assert shown == text
+    assert row.m.count("{") == 4 and row.m.count(src.OPEN_BRACE) == 2
+    assert "(" not in row.m and row.m.count(src.OPEN) == 4
+
+
+def test_tables_compute_declarations_once(spark):
+    def calls(df, pattern):
+        return df._jdf.queryExecution().optimizedPlan().toString().count(pattern)
+
+    files = spark.createDataFrame([("p", "a.ts", "export function f(a = 1) {}")], "project_id string, path string, text string")
+    # The name of a function is cut from its header once, and imports need no functions.
+    name = extract._FUNCTION + ", 2)"
+    assert calls(extract.ts_symbols(files), name) == 1
+    assert calls(extract.ts_imports(files), name) == 0
+    assert [r.signature for r in extract.ts_symbols(files).collect()] == ["function f(a?: number)"]
