@@ -24,7 +24,7 @@ from ..schemas import (
     WARNING_CODES,
     WARNINGS,
 )
-from ..session import staged
+from ..session import staged, stored
 from .tables import HASH, read_or_empty
 
 GENERATOR = "obsframe"
@@ -217,7 +217,8 @@ def publish_generation(workspace: Workspace, heads: DataFrame, root: str, now: C
         "project_id", F.col("semantic_hash").alias("_active")
     )
     known = ledger.groupBy("project_id").agg(F.max("generation").alias("_known"))
-    chosen = staged(
+    # Stored with their size: few projects are sent to the tables, which then stay where they are.
+    chosen = stored(
         semantic_hashes(workspace, heads)
         .join(active, "project_id", "left")
         .filter(F.col("_active").isNull() | (F.col("_active") != F.col("semantic_hash")))
@@ -229,7 +230,12 @@ def publish_generation(workspace: Workspace, heads: DataFrame, root: str, now: C
         return chosen.select(*KEY)
     numbers = chosen.select(*KEY)
     parts = {name: df.join(numbers, "project_id") for name, df in _parts(workspace).items()}
-    sizes = parts["files"].groupBy("project_id").agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes"))
+    # A row's JSON with its generation, without writing the number into every row.
+    plain = F.octet_length(F.to_json(F.struct("*"))) + F.length(F.lit(',"generation":'))
+    measured = _parts(workspace)["files"].groupBy("project_id").agg(F.sum(plain).alias("_plain"), F.count(F.lit(1)).alias("_rows"))
+    sizes = measured.join(numbers, "project_id").select(
+        "project_id", (F.col("_plain") + F.col("_rows") * F.length(F.col("generation").cast("string"))).alias("bytes")
+    )
     rows = chosen.join(sizes, "project_id", "left").select(
         "project_id",
         F.lit(SCHEMA_VERSION).alias("schema_version"),
