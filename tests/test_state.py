@@ -328,3 +328,32 @@ def test_streams_read_a_table_of_one_file_and_a_folder_of_files(spark, tmp_path)
     # Nothing is set aside here: there are no dead letters to read.
     assert found[0] == found[1]
     assert [(r.project_id, r.observations, r.set_aside) for r in found[0]] == [("src0", 20, 0), ("src1", 20, 0)]
+
+
+def test_a_table_in_few_files_is_spread_once(spark, tmp_path):
+    """A job of many readings gets the same rows, in a folder whose texts no reading moves again."""
+    from workload import tables as wt
+
+    rows = [(i, f"text {i}") for i in range(200)]
+    for name in ("documents", "labels"):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    folder = wt.spread(spark, str(tmp_path), "documents", "labels")
+    assert folder != str(tmp_path)
+    again = wt.table(spark, folder, "documents")
+    assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, again.collect())) == rows == sorted(map(tuple, wt.table(spark, folder, "labels").collect()))
+    assert wt.spread(spark, folder, "documents", "labels") == folder
+
+
+def test_terms_that_no_query_asks_are_not_sorted(spark, monkeypatch):
+    from obsframe.operators import overlay as ov
+
+    sorted_rows = []
+    real = ov.top_k
+    monkeypatch.setattr(ov, "top_k", lambda df, *a, **k: sorted_rows.append(df) or real(df, *a, **k))
+    files = spark.createDataFrame([("p", f"f{i}", ["asked", f"other{i}"], "x") for i in range(9)], "project_id string, path string, lexical_terms array<string>, text string")
+    queries = spark.createDataFrame([("p", "q", "asked")], "project_id string, query_id string, query string")
+    state = spark.createDataFrame([("p", "stale")], "project_id string, freshness string")
+    found = ov.fallback_evidence(queries, files, state)
+    assert sorted(r.path for r in found.collect()) == ["f0", "f1", "f2"]
+    assert {r.term for r in sorted_rows[0].collect()} == {"asked"}
