@@ -154,3 +154,30 @@ def test_query_like_brute_force(spark, tmp_path):
     out = queries.op13_repeats(spark, str(tmp_path))
     assert [tuple(r) for r in out.orderBy(F.col("doc_id")).collect()] == expected
     assert dict(out.dtypes) == {"doc_id": "bigint", "n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"}
+
+
+def test_cells_of_a_frequent_core_are_dealt_out(spark, monkeypatch):
+    """A run of one period has a cell for each period, all with one core; they must not meet in one task."""
+    rng = random.Random(6)
+    texts = [noise(rng, 50) + "ab" * 1500 + noise(rng, 50) for _ in range(6)]
+    shares = []
+
+    def kept_folder(session, folder):
+        cells = session.read.parquet(f"{folder}/cells").groupBy("core", F.input_file_name().alias("file")).count().collect()
+        whole = Counter()
+        for r in cells:
+            whole[r["core"]] += r["count"]
+        core, n = whole.most_common(1)[0]
+        shares.append((n, max(r["count"] for r in cells if r["core"] == core) / n))
+
+    monkeypatch.setattr(repeats, "discard", kept_folder)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], "false")
+        check(spark, texts, RepeatParams(group_rows=64))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert shares[0][0] > 1000 and shares[0][1] < 0.8
