@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -162,18 +165,117 @@ def write_artifacts(artifacts: DataFrame, path: str, batch_id: int) -> None:
     )
 
 
-def read_corpus(spark: SparkSession, root: str, project_id: str) -> DataFrame:
-    """Files below ``root`` as (project_id, path, content, size_bytes, modified_at), paths relative with ``/``."""
+# Files of more bytes are hashed in pieces of about this size: no row holds them.
+PIECE_BYTES = 32 << 20
+# Names by which a text reader would unpack a file.
+_PACKED = r"(?i)\.(?:gz|bz2|deflate|snappy|lz4|lzo|xz|zst|zstd|passthrough)$"
+_MARK = b"\xef\xbb\xbf"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Lines of a split, each with its end, in pieces of about ``most`` bytes."""
+    names = ["path", "size", "start", "piece", "bytes"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    key, made, held, n = None, 0, [], 0
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*key, made, b"".join(held)), kinds, strict=True)], names=names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        where = list(zip(*[batch.column(c).to_pylist() for c in ("path", "size", "start")], strict=True))
+        edges = [0, *(i for i in range(1, len(where)) if where[i] != where[i - 1]), len(where)]
+        lines = batch.column("line").to_pylist()
+        for a, b in zip(edges, edges[1:]):
+            if where[a] != key or n > most:
+                if held:
+                    yield row()
+                made = made + 1 if where[a] == key else 0
+                key, held, n = where[a], [], 0
+            held += [b"\n".join(lines[a:b]), b"\n"]
+            n += len(held[-2]) + 1
+    if held:
+        yield row()
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest of each file whose pieces come in order.
+
+    Whether the file ends with its last line end, and whether the reader has left out a byte order mark, follows from its size.
+    """
+    path, size, seen, last, sums = None, 0, 0, b"", ()
+
+    def begun() -> tuple:
+        return hashlib.sha256(), hashlib.sha256(_MARK)
+
+    def row() -> pa.RecordBatch:
+        for digest, lost in zip(sums, (0, len(_MARK)), strict=True):
+            for end in (last, last[:-1]):
+                if seen + len(end) + lost == size:
+                    digest.update(end)
+                    return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([digest.hexdigest()])], names=["file", "content_hash"])
+        raise ValueError(f"{path}: {seen + len(last)} bytes read of {size}")
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            at, of = batch.column("path")[i].as_py(), batch.column("size")[i].as_py()
+            if at != path:
+                if path is not None:
+                    yield row()
+                path, size, seen, last, sums = at, of, 0, b"", begun()
+            for digest in sums:
+                digest.update(last)
+            seen += len(last)
+            last = batch.column("bytes")[i].as_py()
+    if path is not None:
+        yield row()
+
+
+def _hash_in_pieces(spark: SparkSession, root: str, over: int) -> DataFrame:
+    """(file, content_hash) of the files below ``root`` with more than ``over`` bytes, which many tasks read as lines.
+
+    A digest goes over a file in order: its pieces are sorted, on disk where they must be, and pass one task as a stream.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(root)
+    split = lines.filter((meta["file_size"] > over) & ~meta["file_path"].rlike(_PACKED)).select(
+        meta["file_path"].alias("path"), meta["file_size"].alias("size"), meta["file_block_start"].alias("start"),
+        F.col("value").cast("binary").alias("line"),
+    )
+    pieces = split.mapInArrow(
+        lambda batches: _pieces(batches, PIECE_BYTES >> 4), "path string, size long, start long, piece long, bytes binary"
+    )
+    ordered = pieces.repartition("path").sortWithinPartitions("path", "start", "piece")
+    return ordered.mapInArrow(_hashed, "file string, content_hash string")
+
+
+def read_corpus(spark: SparkSession, root: str, project_id: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """Files below ``root`` as (project_id, path, content, size_bytes, modified_at, content_hash), paths relative with ``/``.
+
+    ``content`` is read only where it is asked for, and a row can hold 2 GB of it; ``content_hash`` is there for files of any
+    size.  Those of more than ``piece_bytes`` are hashed in pieces, but for names that a text reader would unpack.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = "/" + root.split("://")[-1].strip("/") + "/"
     plain = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^[a-z0-9]+:/+", "/")
-    return files.select(
-        F.lit(project_id).alias("project_id"),
-        plain.substr(F.lit(len(base) + 1), F.length(plain)).alias("path"),
-        "content",
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modified_at"),
-    )
+    # Conditions on metadata leave files out before anything of them is read.
+    in_pieces = (F.col("_metadata.file_size") > piece_bytes) & ~F.col("_metadata.file_path").rlike(_PACKED)
+
+    def shown(df: DataFrame, content_hash: Column) -> DataFrame:
+        return df.select(
+            F.lit(project_id).alias("project_id"),
+            plain.substr(F.lit(len(base) + 1), F.length(plain)).alias("path"),
+            "content",
+            F.col("length").alias("size_bytes"),
+            F.col("modificationTime").alias("modified_at"),
+            content_hash.alias("content_hash"),
+        )
+
+    whole = shown(files.filter(~in_pieces), F.sha2("content", 256))
+    named = files.filter(in_pieces).withColumn("_at", F.col("_metadata.file_path"))
+    large = named.join(_hash_in_pieces(spark, root, piece_bytes), F.col("_at") == F.col("file"))
+    return whole.unionByName(shown(large, F.col("content_hash")))
 
 
 def read_messages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import json
 import random
 from datetime import datetime, timedelta
@@ -228,6 +230,31 @@ def test_read_corpus(spark, tmp_path):
     assert [(r.path, bytes(r.content), r.size_bytes) for r in rows] == [("a b/x+y.txt", b"hi", 2), ("top.ts", b"let a = 1;", 10)]
 
 
+def test_read_corpus_hashes_large_files_in_pieces(spark, tmp_path):
+    rng = random.Random(7)
+    kinds = {
+        "ended": rng.randbytes(70_000) + b"\n", "open": rng.randbytes(70_000) + b"x", "one line": b"\0" * 50_000, "ends": b"\n" * 30_000,
+        "marked": b"\xef\xbb\xbf" + b"text\r\n" * 9_000, "marked open": b"\xef\xbb\xbf" + b"ab\rc\n" * 9_000 + b"z", "small": b"hi",
+        "marks": b"\xef\xbb\xbf" * 9_000, "packed.gz": gzip.compress(rng.randbytes(40_000)), "a b+cé.txt": rng.randbytes(65_537),
+    }
+    (tmp_path / "sub").mkdir()
+    for name, content in kinds.items():
+        (tmp_path / "sub" / name).write_bytes(content)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")  # splits inside the files
+    try:
+        files = src.read_corpus(spark, str(tmp_path), "p", piece_bytes=4096)
+        assert "MapInArrow" in files._jdf.queryExecution().toString()
+        light = {r.path: r for r in files.select("path", "size_bytes", "content_hash").collect()}
+        full = {r.path: bytes(r.content) for r in files.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert full == {f"sub/{name}": content for name, content in kinds.items()}
+    for name, content in kinds.items():
+        r = light[f"sub/{name}"]
+        assert (r.size_bytes, r.content_hash) == (len(content), hashlib.sha256(content).hexdigest()), name
+
+
 def test_archive_stream_replay_changes_nothing(spark, tmp_path):
     root = str(tmp_path / "archive")
     rows = [("p", "s", f"c{i % 3}", "read", f"token=abc{i} " + "x" * 600 * (i % 2), False, i) for i in range(6)]

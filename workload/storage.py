@@ -73,7 +73,7 @@ def read_corpus(spark, sf_dir):
     """The given tables themselves as a folder of binary files."""
     t.table(spark, sf_dir, "region")
     return src.read_corpus(spark, sf_dir, "tables").select(
-        "project_id", "path", "size_bytes", F.sha2("content", 256).alias("content_hash")
+        "project_id", "path", "size_bytes", "content_hash"
     )
 
 
