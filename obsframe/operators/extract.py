@@ -2,19 +2,21 @@
 
 Contract: declarations are read by anchored patterns at the depth where they stand.  A header may share its line with
 others or span lines; what needs a grammar (regular-expression literals, destructuring) is outside the contract.
-Windows here are per file, and a file is one row of the input, so no group can outgrow a row.
+A file is one row of the input and is cut into segments there (``segments.py``); a row for each segment goes on from that.
+Headers of the usual shape come with what they declare; the patterns here read all others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import source as src
 from ..functions.source import CLOSE, COMMA, EQUALS, MODIFIERS, OPEN, PARENS, restored, split_top_level
+from . import segments as sg
 from .ordered import Running, position_chunks, running
+from .segments import FILE
 
-FILE = ["project_id", "path"]
 NAME = r"[\p{L}_$][\p{L}\p{N}_$]*"
 SYMBOL_TYPE = (
     "array<struct<name:string,kind:string,signature:string,exported:boolean,line:bigint,container:string,"
@@ -69,20 +71,7 @@ def brace_depth(lines: DataFrame) -> DataFrame:
 
 def code_segments(files: DataFrame, script: bool) -> DataFrame:
     """``(project_id, path, seg, raw, depth, line)``: depth before the segment, line of its first character."""
-    cut = files.select(*FILE, src.masked_source("text", script).alias("_masked")).select(
-        *FILE, F.posexplode(src.segments(F.col("_masked"), script)).alias("seg", "raw")
-    )
-    order = Window.partitionBy(*FILE).orderBy("seg")
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    step = F.when(F.endswith("raw", F.lit("{")), 1).when(F.endswith("raw", F.lit("}")), -1).otherwise(0)
-    summed = cut.withColumn("_step", step).withColumns(
-        {
-            "_sum": F.sum("_step").over(order.rowsBetween(Window.unboundedPreceding, 0)),
-            "line": (1 + F.coalesce(F.sum(src.newlines(F.col("raw"))).over(earlier), F.lit(0))).cast("long"),
-        }
-    )
-    low = F.coalesce(F.least(F.lit(0), F.min("_sum").over(earlier)), F.lit(0))
-    return summed.withColumn("depth", (F.col("_sum") - F.col("_step") - low).cast("long")).drop("_sum", "_step")
+    return sg.segments(files, script)
 
 
 def _group(c: Column, pattern: str, index: int) -> Column:
@@ -184,28 +173,28 @@ def _listed(c: Column) -> Column:
     )
 
 
-def _script_heads(files: DataFrame) -> DataFrame:
+def _script_heads(files: DataFrame, **asked) -> DataFrame:
     """Top-level segments of script files with ``head`` (without what ends them)."""
-    top = code_segments(files, script=True).filter(F.col("depth") == 0)
+    top = sg.script_segments(files, **asked)
     return _once(top, head=F.regexp_replace("raw", r"[{};\n]\z", "")).filter(F.trim("head") != "")
 
 
 def _declaring(rows: DataFrame) -> DataFrame:
-    """Add ``prefix`` and ``form``: what a head declares, null when nothing."""
-    h = F.col("head")
+    """Add ``prefix`` and ``form``: what a head declares, null when nothing.  A function that is already read needs no prefix."""
+    h, read = F.col("head"), F.col("fn_name").isNotNull()
     form = (
-        F.when(h.rlike(_FUNCTION), "function")
+        F.when(read | h.rlike(_FUNCTION), "function")
         .when(h.rlike(_BLOCK) & F.endswith("raw", F.lit("{")), "block")
         .when(h.rlike(_ALIAS), "alias")
         .when(h.rlike(_VARIABLE), "variable")
     )
-    return _once(rows, form=form, prefix=F.regexp_extract(h, _PREFIX, 1))
+    return _once(rows, form=form, prefix=F.when(~read, F.regexp_extract(h, _PREFIX, 1)))
 
 
 def _script_symbols(signed: bool = True) -> Column:
     """Symbols of a row of ``_declaring``; unsigned ones have no signatures."""
     h, form, prefix = F.col("head"), F.col("form"), F.col("prefix")
-    exported = prefix.rlike(r"\b(?:export|default)\b")
+    exported = F.coalesce("fn_exported", prefix.rlike(r"\b(?:export|default)\b"))
     written = (lambda c: c) if signed else (lambda c: F.lit(None).cast("string"))
     fn_name = F.coalesce(_group(h, _FUNCTION, 2), F.lit("default"))
     word = F.regexp_replace(F.regexp_extract(h, _BLOCK, 2), r"\Aconst\s+", "")
@@ -230,8 +219,10 @@ def _script_symbols(signed: bool = True) -> Column:
             start_line,
         )
 
+    read = _symbol(F.col("fn_name"), F.lit("function"), F.col("fn_signature"), exported, F.col("line"))
     return (
-        F.when(
+        F.when(F.col("fn_name").isNotNull(), F.array(read))
+        .when(
             form == "function",
             F.transform(
                 F.array(fn_name),
@@ -296,8 +287,8 @@ def _script_imports() -> Column:
 def _script_exports() -> Column:
     """Exports of a row of ``_declaring`` with its ``symbols``."""
     h, symbols = F.col("head"), F.col("symbols")
-    exported = F.col("prefix").rlike(r"\b(?:export|default)\b")
-    default = F.col("prefix").rlike(r"\bdefault\b")
+    exported = F.coalesce("fn_exported", F.col("prefix").rlike(r"\b(?:export|default)\b"))
+    default = F.coalesce("fn_default", F.col("prefix").rlike(r"\bdefault\b"))
     nothing = F.lit(None).cast("string")
 
     def export(name: Column, source: Column = nothing, type_only: Column = F.lit(False)) -> Column:
@@ -311,8 +302,11 @@ def _script_exports() -> Column:
         default & (F.size(symbols) > 0) & (symbols[0]["name"] != "default"), F.array(export(F.lit("default")))
     ).otherwise(_none(EXPORT_TYPE))
     common = _group(h, rf"\A\s*(?:module\s*\.\s*)?exports\s*\.\s*({NAME})\s*=(?!=)", 1)
+    # A function is none of the lists and assignments below.
+    read = F.col("fn_name").isNotNull()
     return (
-        F.when(is_list, F.transform(_listed(_named_list(h)), lambda e: export(e["name"], from_source, whole_type | e["type_only"])))
+        F.when(read, F.when(exported, F.concat(own, with_default)).otherwise(_none(EXPORT_TYPE)))
+        .when(is_list, F.transform(_listed(_named_list(h)), lambda e: export(e["name"], from_source, whole_type | e["type_only"])))
         .when(h.rlike(r"\A\s*export\s*(?:type\s*)?\*"), F.array(export(F.lit("*"), from_source, whole_type)))
         .when((F.size(symbols) > 0) & exported, F.concat(own, with_default))
         .when(h.rlike(r"\A\s*export\s+default\b") | h.rlike(r"\A\s*export\s*=(?!=)"), F.array(export(F.lit("default"))))
@@ -350,41 +344,13 @@ def _inner_list(c: Column) -> Column:
     )
 
 
-def attach_container(segments: DataFrame) -> DataFrame:
-    """Add ``opener``: the header whose brace encloses the segment.
+def _headed(raw: Column) -> Column:
+    """A Java segment without annotations and what ends it."""
+    return F.regexp_replace(F.regexp_replace(raw, r"[{};]\z", ""), _ANNOTATION, " ")
 
-    Every header that opens a brace is also offered one level deeper; the latest offer at a level is what encloses
-    the segments that follow there.
-    """
-    opens = F.endswith("raw", F.lit("{"))
-    info = F.struct(
-        F.col("seg").alias("seg"),
-        F.col("type_kind").alias("kind"),
-        F.col("type_name").alias("name"),
-    )
-    # An offer carries its header's name alone.
-    carried = [c for c in segments.columns if c not in (*FILE, "seg")]
-    offered = segments.withColumn("_info", F.when(opens, info)).withColumn(
-        "_o",
-        F.explode(
-            F.when(
-                opens,
-                F.array(
-                    F.struct(F.col("depth").alias("level"), F.lit(False).alias("offer")),
-                    F.struct((F.col("depth") + 1).alias("level"), F.lit(True).alias("offer")),
-                ),
-            ).otherwise(F.array(F.struct(F.col("depth").alias("level"), F.lit(False).alias("offer"))))
-        ),
-    )
-    offered = offered.select(
-        *FILE, "seg", "_o", F.when(F.col("_o.offer"), F.col("_info")).alias("_info"),
-        *[F.when(~F.col("_o.offer"), F.col(c)).alias(c) for c in carried],
-    )
-    window = Window.partitionBy(*FILE, "_o.level").orderBy("seg", "_o.offer")
-    seen = offered.withColumn(
-        "opener", F.last("_info", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    )
-    return seen.filter(~F.col("_o.offer")).drop("_o", "_info")
+
+def _type_kind(head: Column) -> Column:
+    return F.regexp_replace(_group(head, _JAVA_TYPE, 2), r"@\s*interface", "annotation")
 
 
 def _java_heads(files: DataFrame) -> DataFrame:
@@ -392,38 +358,52 @@ def _java_heads(files: DataFrame) -> DataFrame:
     raw = code_segments(files, script=False)
     # A lone opening brace encloses, a lone semicolon ends the constants of an enum.
     told = raw.filter(~F.col("raw").rlike(r"\A\s*\}?\z"))
-    return _once(told, head=F.regexp_replace(F.regexp_replace("raw", r"[{};]\z", ""), _ANNOTATION, " "))
+    return _once(told, head=_headed(F.col("raw")))
 
 
 def _java_rows(files: DataFrame, openers: bool = False) -> DataFrame:
-    """Java heads with their type, the ``opener`` around them and, unless only ``openers`` are asked for, their ``form``."""
-    heads = _java_heads(files)
+    """Java heads with their type, the ``opener`` around them and, unless only ``openers`` are asked for, their ``form``.
+
+    A header that opens a brace encloses what stands one level deeper until that brace closes.  Methods of the usual shape
+    keep their ``method_`` columns, which are null for all other rows.
+    """
+    told = sg.java_segments(files)
     opens = F.endswith("raw", F.lit("{"))
     if openers:
-        heads = heads.filter(opens)
-    named = _once(
-        heads,
-        type_kind=F.when(opens, F.regexp_replace(_group(F.col("head"), _JAVA_TYPE, 2), r"@\s*interface", "annotation")),
-        type_name=F.when(opens, _group(F.col("head"), _JAVA_TYPE, 3)),
+        told = told.filter(opens)
+    around = _once(told, _around=_headed(F.col("opener_raw")))
+    unread = F.col("opener_raw").isNotNull()
+    opener = F.when(
+        F.col("opener_seg").isNotNull(),
+        F.struct(
+            F.col("opener_seg").alias("seg"),
+            F.when(unread, _type_kind(F.col("_around"))).otherwise(F.col("opener_kind")).alias("kind"),
+            F.when(unread, _group(F.col("_around"), _JAVA_TYPE, 3)).otherwise(F.col("opener_name")).alias("name"),
+        ),
     )
-    rows = attach_container(named)
-    if openers:
-        return rows.filter(F.col("type_kind").isNotNull())
+    rows = _once(around, opener=opener).drop("_around", "opener_seg", "opener_kind", "opener_name", "opener_raw")
     # Constants come before the first semicolon of an enum body.
-    body = Window.partitionBy(*FILE, "opener.seg").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn(
-        "_after", F.coalesce(F.sum(F.when(F.endswith("raw", F.lit(";")), 1).otherwise(0)).over(body), F.lit(0))
-    ).filter(F.trim(F.regexp_replace("raw", r"[{};]\z", "")) != "")
-    h = F.col("head")
     in_type = F.col("opener.kind").isNotNull()
+    constants = (F.col("opener.kind") == "enum") & (F.col("after") == 0)
+    method = F.when(in_type & ~constants, F.col("_method"))
+    rows = _once(rows.withColumnRenamed("method_name", "_method"), method_name=method).drop("_method")
+    unread = F.col("method_name").isNull()
+    rows = _once(rows, head=F.when(unread, _headed(F.col("raw"))))
+    h = F.col("head")
+    typed = unread & opens
+    rows = _once(rows, type_kind=F.when(typed, _type_kind(h)), type_name=F.when(typed, _group(h, _JAVA_TYPE, 3)))
+    if openers:
+        return rows.filter(F.col("type_kind").isNotNull())
+    rows = rows.filter(~unread | (F.trim(F.regexp_replace("raw", r"[{};]\z", "")) != ""))
     is_constructor = h.rlike(_CONSTRUCTOR) & (F.regexp_extract(h, _CONSTRUCTOR, 3) == F.col("opener.name"))
-    is_compact = (F.col("opener.kind") == "record") & F.endswith("raw", F.lit("{")) & (
+    is_compact = (F.col("opener.kind") == "record") & opens & (
         F.regexp_extract(h, _JAVA_MODS + rf"({NAME})\s*\z", 2) == F.col("opener.name")
     )
     form = (
-        F.when(F.col("type_kind").isNotNull(), "type")
+        F.when(~unread, "method")
+        .when(F.col("type_kind").isNotNull(), "type")
         .when(~in_type, None)
-        .when((F.col("opener.kind") == "enum") & (F.col("_after") == 0), "constants")
+        .when(constants, "constants")
         .when(is_constructor | is_compact, "constructor")
         .when(h.rlike(_METHOD), "method")
         .when(h.rlike(_FIELD) & (F.endswith("raw", F.lit(";")) | h.rlike(r"=")), "field")
@@ -528,8 +508,15 @@ def _java_type_and_member_symbols() -> tuple[Column, Column]:
         lambda s: s["name"] != "",
     )
     form = F.col("form")
+    listed = F.col("method_modifiers")
+    known = F.when(listed == "", F.array().cast("array<string>")).otherwise(F.split(listed, " "))
+    read = _symbol(
+        F.col("method_name"), F.lit("method"), F.col("method_signature"), F.array_contains(known, "public") | open_public,
+        F.col("line") + F.col("method_lines"), container, F.array().cast("array<string>"), known, F.array().cast("array<string>"),
+    )
     members = (
-        F.when(form == "constants", constants.cast(SYMBOL_TYPE))
+        F.when(F.col("method_name").isNotNull(), F.array(read).cast(SYMBOL_TYPE))
+        .when(form == "constants", constants.cast(SYMBOL_TYPE))
         .when(form == "constructor", F.array(constructor).cast(SYMBOL_TYPE))
         .when(form == "method", F.array(method).cast(SYMBOL_TYPE))
         .when(form == "field", F.filter(fields.cast(SYMBOL_TYPE), lambda s: s["name"] != ""))
@@ -580,6 +567,7 @@ def _java_exports() -> Column:
 
 def java_declarations(files: DataFrame) -> DataFrame:
     """``(project_id, path, seg, package_name, imports, exports, symbols)`` for Java files."""
+    # A method of the usual shape stands in a type: it names no package and imports nothing.
     name = _group(F.col("head"), r"\A\s*package\s+([\p{L}\p{N}_$.\s]+?)\s*\z", 1)
     package = F.when(F.col("depth") == 0, F.regexp_replace(name, r"\s+", ""))
     out = _once(
@@ -599,11 +587,13 @@ def _table(rows: DataFrame, items: Column) -> DataFrame:
 
 
 def ts_imports(files: DataFrame) -> DataFrame:
-    return _table(_script_heads(files), _script_imports()).drop("static", "wildcard")
+    # What imports has one of these words.
+    heads = _script_heads(files, having="import|require", plain=True)
+    return _table(heads, _script_imports()).drop("static", "wildcard")
 
 
 def ts_exports(files: DataFrame) -> DataFrame:
-    rows = _once(_declaring(_script_heads(files)), symbols=_script_symbols(signed=False))
+    rows = _once(_declaring(_script_heads(files, signed=False)), symbols=_script_symbols(signed=False))
     return _table(rows, _script_exports())
 
 

@@ -11,6 +11,7 @@ from obsframe.operators import corpus as co
 from obsframe.operators import extract as ex
 from obsframe.operators import overlay as ov
 from obsframe.operators import search as se
+from obsframe.operators import segments as sg
 from obsframe.plans import corpus as plans
 from obsframe.plans import workspace as ws
 from obsframe.session import scratch
@@ -183,8 +184,9 @@ def _word_scripts(spark, sf_dir):
         F.split("text", "\n"),
         lambda l, i: F.concat(F.lit('import { a } from "./'), i + 1, F.lit("/"), F.array_join(words(l), "-"), F.lit('.js"; // '), l),
     )
-    return t.document_files(spark, sf_dir).select(
-        "project_id", "path", F.array_join(F.concat(heads, lines), "\n").alias("text"), "doc_id"
+    # Sources are many times as long as their documents, so rows of one file are brought together before.
+    return sg.gathered(t.document_files(spark, sf_dir)).select(
+        "project_id", "path", F.array_join(F.concat(heads, lines), "\n").alias("text"), "doc_id", "copies"
     )
 
 
@@ -209,8 +211,11 @@ def java_members_words(spark, sf_dir):
         F.split("text", "\n"),
         lambda l: F.concat(F.array_join(F.transform(F.regexp_extract_all(F.lower(l), F.lit("[a-z]+"), F.lit(0)), method), ""), F.lit("// "), l),
     )
-    classes = t.table(spark, sf_dir, "documents").select(
-        F.col("source").alias("project_id"), F.concat("doc_id", F.lit(".java")).alias("path"),
+    documents = t.table(spark, sf_dir, "documents").withColumns(
+        {"project_id": F.col("source"), "path": F.concat("doc_id", F.lit(".java"))}
+    )
+    classes = sg.gathered(documents.select("project_id", "path", "text", "doc_id")).select(
+        "project_id", "path", "copies",
         F.concat(F.lit("public final class D"), "doc_id", F.lit(" {\n"), F.array_join(lines, "\n"), F.lit("\n}\n")).alias("text"),
     )
     return ex.java_members(classes).select("path", "name", "kind", "signature", "exported", "line", "container")
